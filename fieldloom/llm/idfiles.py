@@ -114,9 +114,9 @@ def write(
     rows = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie", "text").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from fieldloom.llm.tokens import ChunkEncoder
+        from fieldloom.llm.tokens import encoder as kept
 
-        encoder, part = ChunkEncoder(tokenizer_file, spaces=False), TaskContext.get().partitionId()
+        encoder, part = kept(tokenizer_file, spaces=False), TaskContext.get().partitionId()
         parts: list[np.ndarray] = []
         doc_ids: list = []
         file = first = held = 0

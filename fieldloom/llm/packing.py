@@ -133,9 +133,9 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from fieldloom.llm.tokens import ChunkEncoder
+        from fieldloom.llm.tokens import encoder as kept
 
-        encoder, packer = ChunkEncoder(tokenizer_file, spaces=True), SumOfSquares(capacity)
+        encoder, packer = kept(tokenizer_file, spaces=True), SumOfSquares(capacity)
         next_id = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         held = 0
