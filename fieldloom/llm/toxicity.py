@@ -2,7 +2,9 @@
 
 A linear numpy classifier over hashed words and word beginnings, each weighed by its
 share of the text's words. It is trained from confirmed toxic texts (P) and unlabelled
-text (U), whose toxic share ``prior`` is known. With the logistic loss l, the risk is
+text (U), whose toxic share ``prior`` is known. Features take part whose frequency among
+the texts of P differs from that of U by ``min_z`` standard errors or more; all others
+would be noise. With the logistic loss l, the risk is
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
@@ -76,26 +78,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _rows(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts as sparse rows: row ends, features, values."""
-    known: dict[str, list[int]] = {}
-    ends, feats, values = [], [], []
-    for text in texts:
-        found = list(words(text))
-        for w in found:
-            if w not in known:
-                known[w] = word_features(w, buckets)
-        f, c = np.unique(np.array([x for w in found for x in known[w]], np.int64), return_counts=True)
-        feats.append(f)
-        values.append(c * (SCALE / max(1, len(found))))
-        ends.append(len(f))
-    return np.cumsum(ends), np.concatenate(feats), np.concatenate(values)
-
-
 class _Sparse:
+    """Texts as rows of distinct features and their values."""
+
     def __init__(self, texts: list[str], buckets: int):
-        self.ends, self.feats, self.values = _rows(texts, buckets)
-        self.starts = np.r_[0, self.ends[:-1]]
+        known: dict[str, list[int]] = {}
+        feats, values, sizes = [], [], []
+        for text in texts:
+            found = list(words(text))
+            for w in found:
+                if w not in known:
+                    known[w] = word_features(w, buckets)
+            f, c = np.unique(np.array([x for w in found for x in known[w]], np.int64), return_counts=True)
+            feats.append(f)
+            values.append(c * (SCALE / max(1, len(found))))
+            sizes.append(len(f))
+        self.n = len(texts)
+        self.rows = np.repeat(np.arange(self.n), sizes)
+        self.feats, self.values = np.concatenate(feats), np.concatenate(values)
+        self.frequency = np.bincount(self.feats, minlength=buckets)
+
+    def keep(self, place: np.ndarray) -> None:
+        """Only the features with a place, renamed to it."""
+        used = place[self.feats] >= 0
+        self.rows, self.values = self.rows[used], self.values[used]
+        self.feats = place[self.feats[used]]
+        ends = np.searchsorted(self.rows, np.arange(self.n), side="right")
+        self.ends, self.starts = ends, np.r_[0, ends[:-1]]
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of some rows: which row, feature and value of each entry."""
@@ -114,31 +123,32 @@ def train(
     unlabelled: list[str],
     prior: float,
     buckets: int = 1 << 18,
-    steps: int = 1500,
+    steps: int = 2000,
     batch: int = 128,
     rate: float = 0.05,
     decay: float = 1e-4,
-    min_texts: int = 3,
+    min_z: float = 4.0,
     seed: int = 11,
 ) -> Model:
-    """The classifier. A feature counts if it is in ``min_texts`` of the sampled texts."""
+    """The classifier."""
     if not toxic or not unlabelled:
         return Model(np.zeros(0), 0.0)
     rng = np.random.default_rng(seed)
     p, u = _Sparse(toxic, buckets), _Sparse(unlabelled, buckets)
-    seen = np.bincount(p.feats, minlength=buckets) + np.bincount(u.feats, minlength=buckets)
-    used = np.flatnonzero(seen >= min_texts)
+    both = (p.frequency + u.frequency) / (p.n + u.n)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / p.n + 1 / u.n))
+    z = (p.frequency / p.n - u.frequency / u.n) / error
+    used = np.flatnonzero((np.abs(z) >= min_z) & (p.frequency + u.frequency > 2))
     size = len(used)
-    place = np.full(buckets, size)
+    place = np.full(buckets, -1)
     place[used] = np.arange(size)
-    for data in (p, u):
-        data.feats = place[data.feats]
-        data.values = np.where(data.feats < size, data.values, 0.0)
+    p.keep(place)
+    u.keep(place)
     w, m, v = (np.zeros(size + 1) for _ in range(3))  # the last is the bias
     for k in range(1, steps + 1):
         parts = []
-        for data, n in ((p, len(toxic)), (u, len(unlabelled))):
-            rows = rng.integers(n, size=min(batch, 4 * n))
+        for data in (p, u):
+            rows = rng.integers(data.n, size=min(batch, 4 * data.n))
             row, f, x = data.take(rows)
             z = np.bincount(row, x * w[f], minlength=len(rows)) + w[-1]
             parts.append((len(rows), row, f, x, z))
