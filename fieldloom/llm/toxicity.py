@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 _WORD = re.compile(r"[^\W\d_]+")
 #: A feature's value is its share of the words times this.
 SCALE = 50.0
+#: Logits are cut off here, so that a few extreme texts don't rule the risk.
+CLIP = 6.0
 #: Words kept in memory at once.
 CACHE_WORDS = 1 << 18
 
@@ -63,8 +65,9 @@ class Model:
         return {"weights": self.weights, "bias": self.bias, "known": {}}
 
     def score(self, text: str | None) -> float:
-        if not len(self.weights):
-            return 0.0
+        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -CLIP, CLIP)))) if len(self.weights) else 0.0
+
+    def logit(self, text: str | None) -> float:
         known, total, n = self.known, 0.0, 0
         for word in words(text):
             w = known.get(word)
@@ -74,8 +77,7 @@ class Model:
                 w = known[word] = float(self.weights[word_features(word, len(self.weights))].sum())
             total += w
             n += 1
-        z = self.bias + (SCALE * total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        return self.bias + (SCALE * total / n if n else 0.0)
 
 
 class _Sparse:
@@ -123,17 +125,21 @@ def train(
     unlabelled: list[str],
     prior: float,
     buckets: int = 1 << 18,
-    steps: int = 2000,
+    steps: int = 1200,
     batch: int = 128,
     rate: float = 0.05,
-    decay: float = 1e-4,
-    min_z: float = 4.0,
+    decay: float = 1e-3,
+    min_z: float = 5.0,
     seed: int = 11,
 ) -> Model:
-    """The classifier."""
+    """The classifier; every fourth text is kept to fit the scale and bias of its scores."""
     if not toxic or not unlabelled:
         return Model(np.zeros(0), 0.0)
     rng = np.random.default_rng(seed)
+    few = len(toxic) < 8 or len(unlabelled) < 8
+    kept_p, kept_u = (toxic, unlabelled) if few else (toxic[3::4], unlabelled[3::4])
+    if not few:
+        toxic, unlabelled = ([t for i, t in enumerate(x) if i % 4 != 3] for x in (toxic, unlabelled))
     p, u = _Sparse(toxic, buckets), _Sparse(unlabelled, buckets)
     both = (p.frequency + u.frequency) / (p.n + u.n)
     error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / p.n + 1 / u.n))
@@ -145,19 +151,23 @@ def train(
     p.keep(place)
     u.keep(place)
     w, m, v = (np.zeros(size + 1) for _ in range(3))  # the last is the bias
+    share_p, share_u = (p.frequency[used] + 0.5) / (p.n + 1), (u.frequency[used] + 0.5) / (u.n + 1)
+    w[:-1] = np.log(share_p / share_u)  # a start that the frequencies suggest
+    w[-1] = np.log(max(prior, 1e-6))
     for k in range(1, steps + 1):
         parts = []
         for data in (p, u):
             rows = rng.integers(data.n, size=min(batch, 4 * data.n))
             row, f, x = data.take(rows)
             z = np.bincount(row, x * w[f], minlength=len(rows)) + w[-1]
-            parts.append((len(rows), row, f, x, z))
-        (np_, prow, pf, px, pz), (nu, urow, uf, ux, uz) = parts
+            parts.append((len(rows), row, f, x, np.clip(z, -CLIP, CLIP), np.abs(z) < CLIP))
+        (np_, prow, pf, px, pz, pin), (nu, urow, uf, ux, uz, uin) = parts
         negative = np.logaddexp(0, uz).mean() - prior * np.logaddexp(0, pz).mean()
         if negative >= 0:
             gp, gu = np.full(np_, -prior / np_), _sigmoid(uz) / nu
         else:
             gp, gu = prior * _sigmoid(pz) / np_, -_sigmoid(uz) / nu
+        gp, gu = gp * pin, gu * uin
         g = np.bincount(pf, px * gp[prow], minlength=size + 1) + np.bincount(uf, ux * gu[urow], minlength=size + 1)
         g[-1] = gp.sum() + gu.sum()
         g[:-1] += decay * w[:-1]
@@ -167,11 +177,26 @@ def train(
         w -= step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     weights = np.zeros(buckets, np.float32)
     weights[used] = w[:-1]
-    return Model(weights, float(w[-1]))
+    raw = Model(weights, float(w[-1]))
+    scale, shift = _calibrated(*(np.array([raw.logit(t) for t in x]) for x in (kept_p, kept_u)), prior)
+    return Model((weights * scale).astype(np.float32), float(w[-1] * scale + shift))
+
+
+def _calibrated(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The scale and shift of logits with the least non-negative risk; a search of two numbers."""
+    best = (np.inf, 1.0, 0.0)
+    for scale in np.geomspace(0.5, 16, 24):
+        for shift in np.linspace(-24, 24, 97):
+            p, u = (np.clip(scale * z + shift, -CLIP, CLIP) for z in (zp, zu))
+            rest = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+            risk = prior * np.logaddexp(0, -p).mean() + max(0.0, rest)
+            if risk < best[0] - 1e-9:
+                best = (risk, float(scale), float(shift))
+    return best[1:]
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, learnable: Column, max_toxic: int = 2000, max_unlabelled: int = 4000, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, learnable: Column, max_toxic: int = 2000, max_unlabelled: int = 6000, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[list[str], list[str], float]:
     """Bounded samples by a hash of the id: texts labelled toxic, texts whatever their label,
     and the toxic share of the labelled rows. ``learnable`` is over ``id_col``."""
