@@ -201,7 +201,7 @@ def links(classes: DataFrame, radius: int = 2, shard_rows: int = 1024) -> DataFr
     rows = _keyed(classes.select("fp", "rep", F.lit(0).alias("table")), masks)
     out: DataFrame | None = None
     fixed = masks[0]
-    for _ in range(3):
+    while True:
         sizes = rows.groupBy("table", "key").count().where(F.col("count") > 1)
         large = sizes.where(F.col("count") > shard_rows).select("table", "key")
         free = [[i for i in range(BITS) if not m >> i & 1] for m in fixed]

@@ -211,7 +211,7 @@ def sample(
     texts = docs.where(learnable & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
     rows = docs.where(learnable).count()
     among = F.pmod(F.xxhash64(F.lit("u"), F.col(id_col).cast("string")), F.lit(space)) < space * max_unlabelled // max(1, rows)
-    marked = texts.select(F.col(id_col).isin(ids).alias("p"), among.alias("u"), F.col(text_col).alias("text")).where("p OR u").limit(4 * (max_toxic + max_unlabelled))
+    marked = texts.select(F.coalesce(F.col(id_col).isin(ids), F.lit(False)).alias("p"), among.alias("u"), F.col(text_col).alias("text")).where("p OR u").limit(4 * (max_toxic + max_unlabelled))
     found = sorted(tuple(r) for r in marked.collect())
     return [t for p, _, t in found if p], [t for _, u, t in found if u], toxic / n
 
