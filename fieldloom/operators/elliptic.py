@@ -177,38 +177,55 @@ def thomas(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.nda
     return dp
 
 
-def fac_two_level(f: np.ndarray, fine_f: np.ndarray, at: tuple[int, int], h: float, rounds: int = 20, sweeps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def fac_two_level(f: np.ndarray, fine_f: np.ndarray, at: tuple[int, int], h: float, rounds: int = 12, sweeps: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Composite solve of a periodic coarse block and one fine box with its low corner over coarse cell ``at``.
 
-    The coarse right-hand side under the box is the mean of the fine one, the fine box gets
-    bilinear ghost values, and the coarse potential under it is the mean of the fine one.
+    Each round smooths the box under bilinear ghost values, averages it down, and corrects
+    both levels by a coarse solve of the composite residual, in which coarse cells at the
+    border see the mean of the fine fluxes through their face.
     """
     ni, nj = fine_f.shape[0] // 2, fine_f.shape[1] // 2
-    rows, cols = slice(at[0], at[0] + ni), slice(at[1], at[1] + nj)
-    f = f.copy()
-    f[rows, cols] = fine_f.reshape(ni, 2, nj, 2).mean(axis=(1, 3))
-    shift = f.mean()
-    f, fine_f = f - shift, fine_f - shift
+    (a, b), half = at, h / 2
+    rows, cols = slice(a, a + ni), slice(b, b + nj)
+
+    def down(x: np.ndarray) -> np.ndarray:
+        return x.reshape(ni, 2, nj, 2).mean(axis=(1, 3))
+
+    f = _with(f, rows, cols, down(fine_f))
+    f, fine_f = f - f.mean(), fine_f - f.mean()
     phi = Multigrid(rel=1e-10).solve(f, h)[0]
-    fine = np.repeat(np.repeat(phi[rows, cols], 2, 0), 2, 1)
-    half = h / 2
+    # Fine cells with one ring of ghosts, at places in units of coarse cells.
+    x = a + (np.arange(2 * ni + 2) - 0.5) / 2 - 0.5
+    y = b + (np.arange(2 * nj + 2) - 0.5) / 2 - 0.5
+    fine = _bilinear(phi, x, y)[1:-1, 1:-1]
     color = np.add.outer(np.arange(2 * ni), np.arange(2 * nj)) % 2
     for _ in range(rounds):
-        ghost = np.zeros((2 * ni + 2, 2 * nj + 2))
-        for a in range(2 * ni + 2):
-            for b in range(2 * nj + 2):
-                if a in (0, 2 * ni + 1) or b in (0, 2 * nj + 1):
-                    ghost[a, b] = _bilinear(phi, at[0] + (a - 0.5) / 2 - 0.5, at[1] + (b - 0.5) / 2 - 0.5)
+        box = _bilinear(phi, x, y)
+        box[1:-1, 1:-1] = fine
+
+        def near(q: np.ndarray) -> np.ndarray:
+            return q[2:, 1:-1] + q[:-2, 1:-1] + q[1:-1, 2:] + q[1:-1, :-2]
+
         for _ in range(sweeps):
             for c in (0, 1):
-                ghost[1:-1, 1:-1] = fine
-                new = (ghost[2:, 1:-1] + ghost[:-2, 1:-1] + ghost[1:-1, 2:] + ghost[1:-1, :-2] - half * half * fine_f) / 4
-                fine[color == c] = new[color == c]
-        mean = fine.reshape(ni, 2, nj, 2).mean(axis=(1, 3))
-        target = f.copy()
-        target[rows, cols] = laplace(_with(phi, rows, cols, mean), h)[rows, cols]
-        phi = Multigrid(rel=1e-10).solve(target, h, start=_with(phi, rows, cols, mean))[0]
-    return phi, fine
+                box[1:-1, 1:-1] = np.where(color == c, (near(box) - half * half * fine_f) / 4, box[1:-1, 1:-1])
+        fine = box[1:-1, 1:-1].copy()
+        phi[rows, cols] = down(fine)
+        r = f - laplace(phi, h)
+        pairs = (
+            (phi[a, cols] - phi[a - 1, cols], box[1, 1:-1] - box[0, 1:-1], (a - 1, cols)),
+            (phi[a + ni - 1, cols] - phi[(a + ni) % len(phi), cols], box[-2, 1:-1] - box[-1, 1:-1], ((a + ni) % len(phi), cols)),
+            (phi[rows, b] - phi[rows, b - 1], box[1:-1, 1] - box[1:-1, 0], (rows, b - 1)),
+            (phi[rows, b + nj - 1] - phi[rows, (b + nj) % phi.shape[1]], box[1:-1, -2] - box[1:-1, -1], (rows, (b + nj) % phi.shape[1])),
+        )
+        for coarse, finer, where_ in pairs:
+            r[where_] -= ((finer / half).reshape(-1, 2).mean(axis=1) - coarse / h) / h
+        r[rows, cols] = down(fine_f - (near(box) - 4 * fine) / (half * half))
+        e = Multigrid(rel=1e-8).solve(r, h)[0]
+        phi = phi + e
+        fine = fine + _bilinear(e, x, y)[1:-1, 1:-1]
+    phi[rows, cols] = down(fine)
+    return phi - phi.mean(), fine - phi.mean()
 
 
 def _with(a: np.ndarray, rows: slice, cols: slice, part: np.ndarray) -> np.ndarray:
@@ -217,11 +234,16 @@ def _with(a: np.ndarray, rows: slice, cols: slice, part: np.ndarray) -> np.ndarr
     return out
 
 
-def _bilinear(a: np.ndarray, x: float, y: float) -> float:
-    i, j = math.floor(x), math.floor(y)
-    s, t = x - i, y - j
+def _bilinear(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values at all pairs of places, from the four nearest cells of a periodic block."""
+    i, j = np.floor(x).astype(int), np.floor(y).astype(int)
+    s, t = (x - i)[:, None], (y - j)[None, :]
     n, m = a.shape
-    return float((1 - s) * (1 - t) * a[i % n, j % m] + s * (1 - t) * a[(i + 1) % n, j % m] + (1 - s) * t * a[i % n, (j + 1) % m] + s * t * a[(i + 1) % n, (j + 1) % m])
+
+    def at(di: int, dj: int) -> np.ndarray:
+        return a[np.ix_((i + di) % n, (j + dj) % m)]
+
+    return (1 - s) * (1 - t) * at(0, 0) + s * (1 - t) * at(1, 0) + (1 - s) * t * at(0, 1) + s * t * at(1, 1)
 
 
 def solve_blocks(df: DataFrame, c: str, solver: Callable[[np.ndarray], np.ndarray], out: str = "phi", key: str = "box_id") -> DataFrame:

@@ -61,10 +61,10 @@ class Program:
 
     values: list[Value] = field(default_factory=list)
 
-    def add(self, op: str, *args: Any, **options: Any) -> Value:
-        if op not in TYPES:
-            raise ValueError(f"unknown operation {op!r}")
-        v = Value(len(self.values), op, args, tuple(sorted(options.items(), key=lambda kv: kv[0])))
+    def add(self, operation: str, /, *args: Any, **options: Any) -> Value:
+        if operation not in TYPES:
+            raise ValueError(f"unknown operation {operation!r}")
+        v = Value(len(self.values), operation, args, tuple(sorted(options.items(), key=lambda kv: kv[0])))
         self.values.append(v)
         return v
 
