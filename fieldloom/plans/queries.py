@@ -12,7 +12,7 @@ from fieldloom.functions import moments as mo
 from fieldloom.functions import physics as ph
 from fieldloom.functions.expr import Expr, abs_, const, diff, floor, maximum, minimum, safe_div, sign, smooth_floor, sqrt, var, where
 from fieldloom.functions.linalg import eig2, lorentz_inverse, solve2
-from fieldloom.operators import amr, cells, coupling, elliptic, fv, grid, reduce, stencil
+from fieldloom.operators import amr, cells, coupling, elliptic, fv, grid, halo, problems, reduce, stencil
 from fieldloom.operators.grid import Box, Geometry, PolarGeometry
 from fieldloom.plans import time as tm
 from fieldloom.plans.relation import Plan, raw, rounded
@@ -173,6 +173,27 @@ def _polar() -> Plan:
     return fv.rhs_polar(x, COLD, SHAPE, g, source=lambda u, r: COLD.polar_geometric_source(u, r))
 
 
+def _jacobian_vector() -> Plan:
+    """J v by two residuals, v = m."""
+    eps = 1e-3
+    x = grid.counts().select("i", "j", "u", "m")
+    base = _slim_rate(x).rename(r_u="r0")
+    moved = fv.rhs(base.with_(u=var("u") + var("m") * eps), WIND, SHAPE, H, H)
+    return moved.select("i", "j", jv=(var("r_u") - var("r0")) / eps)
+
+
+def _polar_operator() -> Plan:
+    """(1/r) d(r a dphi/dr)/dr + (1/r^2) d(b dphi/dtheta)/dtheta on a ring."""
+    g = PolarGeometry(N, N, 0.3, 1.0)
+    x = grid.counts().select("i", "j", phi="u", a=var("m") + 1.0, b=var("f") + 1.0).shift(["phi", "a", "b"], stencil.CROSS, SHAPE, ("foextrap", "periodic"))
+    r, lo, hi = g.r(), g.r_face(0), g.r_face(1)
+    up = hi * (var("a") + var("a_xp")) * 0.5 * (var("phi_xp") - var("phi"))
+    down = lo * (var("a") + var("a_xm")) * 0.5 * (var("phi") - var("phi_xm"))
+    left = (var("b") + var("b_yp")) * 0.5 * (var("phi_yp") - var("phi"))
+    right = (var("b") + var("b_ym")) * 0.5 * (var("phi") - var("phi_ym"))
+    return x.select("i", "j", value=(up - down) / (r * (g.dr * g.dr)) + (left - right) / (r * r * (g.dt * g.dt)))
+
+
 def _expr_zoo() -> Plan:
     """Every scalar node over one field, and derivatives of a formula."""
     u, m = var("u"), var("m")
@@ -352,6 +373,12 @@ def plans() -> dict[str, Plan]:
         "reflux_correction": _round(_reflux()),
         "morton_partition": _sfc(),
         "ghosts_in_time": _round(grid.counts().select("i", "j", u=amr.in_time(var("u"), var("m"), 0.25))),
+        # layouts
+        "halo_fill": halo.ghosts(u, ["u"], 8, 4, 2),
+        "parallel_copy": halo.copy_to_layout(halo.with_boxes(u, 8, 4), ["u"], 16, 2),
+        "max_drift_speed": _round(reduce.max_speed(aux.select("i", "j", "grad_x", "grad_y", n=var("u")), ph.ExBVelocity(2.0), own)),
+        "rhs_jacvec": _round(_jacobian_vector(), 4),
+        "polar_operator": _round(_polar_operator(), 3),
         # elliptic
         "gs_red_sweep": _round(stencil.gauss_seidel_half(pois, "u", "f", SHAPE, 0, H, H)),
         "gs_black_sweep": _round(stencil.gauss_seidel_half(stencil.gauss_seidel_half(pois, "u", "f", SHAPE, 0, H, H), "u", "f", SHAPE, 1, H, H)),
@@ -390,6 +417,38 @@ def polar_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _solver(spark, sf_dir, 32, lambda f: elliptic.polar_poisson(f - f.mean(), 0.3, 1.0))
 
 
+def fac_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-level composite solve in each of four boxes; the coarse level."""
+
+    def solve(f):
+        fine = f[8:24, 8:24].repeat(2, 0).repeat(2, 1)
+        return elliptic.fac_two_level(f, fine, (8, 8), 1 / 32)[0]
+
+    return _solver(spark, sf_dir, 32, solve)
+
+
+def solve_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The potential of three species, and its gradient."""
+    x = _blocks()
+    shares = {"a": (x, var("n_a") * -1.0), "b": (x, var("n_b") * 1.0), "c": (x, var("n_c") * 0.5)}
+    mean_free = problems.PoissonProblem(problems.RHS)
+    return problems.FieldSolve(mean_free, problems.GeometricMG(), SHAPE, H).aux(shares, spark, sf_dir)
+
+
+def screened_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells_ = grid.density(16).frame(spark, sf_dir)
+    p = problems.ScreenedPoissonProblem(var("u"), 4.0)
+    return problems.solve(p, problems.Krylov("cg", max_iter=30, tolerance=1e-4), cells_, (16, 16), 1.0)
+
+
+def newton_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worst residual, failed cells, and the first cell with the worst residual."""
+    x = newton_source(spark, sf_dir)
+    worst = F.max(F.struct("residual", (-(F.col("j") * N + F.col("i"))).alias("place")))
+    out = x.agg(worst.alias("w"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("failed"))
+    return out.select(F.col("w.residual").alias("residual"), (-F.col("w.place")).alias("place"), "failed")
+
+
 def _krylov(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rhs = grid.density(16).select("i", "j", b=var("u") / 100.0).frame(spark, sf_dir)
@@ -481,6 +540,10 @@ PYTHON = {
     "mg_solve": mg_solve,
     "fft_solve": fft_solve,
     "polar_solve": polar_solve,
+    "fac_solve": fac_solve,
+    "solve_fields": solve_fields,
+    "screened_solve": screened_solve,
+    "newton_report": newton_report,
     **{f"{n}_solve": _krylov(n) for n in ("cg", "bicgstab", "gmres", "richardson")},
     "berger_rigoutsos": berger_rigoutsos,
     "newton_source": newton_source,
