@@ -34,6 +34,9 @@ from fieldloom.llm.shared import cut
 
 Levels = list[tuple[str, Column]]
 
+#: Parts that the rows of one leaf are dealt into.
+SALTS = 32
+
 
 def estimated_tokens(text_col: str = "text") -> Column:
     """A quarter of the code points, rounded up."""
@@ -103,7 +106,10 @@ def mix(
     leaves = cut(leaves.select(*names, F.col("whole").cast("long").alias("whole"), F.col("rest").cast("long").alias("rest")), "mix")
 
     place = F.md5(F.concat(F.lit(f"{seed}:"), (F.col("whole") + 1).cast("string"), F.lit(":"), F.col("_key")))
-    last = slim.join(leaves.where("rest > 0"), names).withColumn("h", place).withColumn("range", F.substring("h", 1, 3))
+    # A leaf may hold a third of all rows: it is met in SALTS parts, and summed by range.
+    parts = leaves.where("rest > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = slim.withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+    last = salted.join(parts, [*names, "salt"]).withColumn("h", place).withColumn("range", F.substring("h", 1, 3))
     sums = last.groupBy(*names, "rest", "range").agg(F.sum("tokens").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*names).orderBy("range"))
     split = sums.withColumn("upto", upto).where("upto > rest AND upto - n <= rest").groupBy(*names).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("s"))
