@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.shared import release_memory
+
 UNDETERMINED = "und"
 #: Bytes of text whose features are in memory at once.
 SLAB = 1 << 19
@@ -196,10 +198,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, all columns."""
 
-    @F.pandas_udf("boolean")
-    def kept(texts):
-        import pandas as pd
-
-        return pd.Series([not model.predict(None if x is None or x != x else x)[2] for x in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([not model.predict(x.as_py())[2] for x in texts], pa.bool_())
+        release_memory()
 
     return docs.where(kept(F.col(text_col)))

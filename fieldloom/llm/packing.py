@@ -117,6 +117,7 @@ def pack(
     capacity: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cache_chunks: int | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset``
     and ``ids``, the piece's ids as little-endian unsigned 32-bit integers."""
@@ -133,9 +134,11 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from fieldloom.llm.shared import release_memory
         from fieldloom.llm.tokens import encoder as kept
 
         encoder, packer = kept(tokenizer_file, spaces=True), SumOfSquares(capacity)
+        encoder.limit = cache_chunks or encoder.limit
         next_id = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         held = 0
@@ -167,5 +170,7 @@ def pack(
                 held = 0
         if rows:
             yield batch_of()
+        encoder.forget()
+        release_memory()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -40,6 +40,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release_memory() -> None:
+    """Give a worker's free memory back to the system, as idle workers outlive their stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table of ``cut`` that no later plan reads."""
     path = getattr(df, "_fieldloom_path", None)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm.shared import cut, drop_cut
+from fieldloom.llm.shared import cut, drop_cut, release_memory
 
 BITS = 64
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
             found = [simhash(x.as_py(), words, seed) for x in batch.column(1)]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")

@@ -4,16 +4,17 @@ A public tokenizer's pre-tokenizer cuts every text at some places whatever stand
 them: from non-space to space, after a lone line end, and where a run of Latin letters
 meets ASCII that isn't a letter. So a text can be cut there, and a distinct chunk needs
 the library only once; the ids are those of encoding the whole text. Most chunks are
-one word. A worker keeps its chunks from task to task.
+one word.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-#: Chunks kept in memory at once, and the longest that is kept.
+#: Chunks kept in memory at once (two generations of half as many), and the longest that is kept.
 CACHE_CHUNKS, CACHE_CHARS = 600_000, 32
 
 #: Letters of Latin scripts up to U+024F, but for U+0130, which lower-cases to two characters;
@@ -44,6 +45,9 @@ class _Odd(Exception):
 class ChunkEncoder(dict):
     """Token ids of texts; a dict from chunk to its ids' little-endian 32-bit bytes.
 
+    When the dict is full it becomes the older generation, and starts anew; chunks that
+    come again are taken back from there, so that common ones stay.
+
     ``spaces``: whether the tokenizer keeps white space (byte-level) or drops it.
     """
 
@@ -51,28 +55,39 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.limit = CACHE_CHUNKS
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model = self.tokenizer.model
         self.spaces = spaces
         self.cut = (_SPACED if spaces else _WORDS).findall
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.spaces and _ODD.search(chunk):
-            raise _Odd
-        if _WORD.fullmatch(chunk):
-            # One pre-token: the model alone, on its byte-level form.
-            piece = chunk if self.spaces else chunk.lower()
-            piece = piece.replace(" ", _BYTES[32]) if piece.isascii() else "".join([_BYTES[b] for b in piece.encode()])
-            ids = [t.id for t in self.model.tokenize(piece)]
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        data = np.array(ids, "<u4").tobytes()
+        data = self.older.get(chunk)
+        if data is None:
+            data = self._encode(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
+            if 2 * len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = data
         return data
 
+    def _encode(self, chunk: str) -> bytes:
+        if _WORD.fullmatch(chunk):
+            # One pre-token: the model alone, on its byte-level form.
+            piece = chunk if self.spaces else chunk.lower()
+            piece = piece.replace(" ", _BYTES[32]) if piece.isascii() else "".join([_BYTES[b] for b in piece.encode()])
+            return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        if self.spaces and _ODD.search(chunk):
+            raise _Odd
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def forget(self) -> None:
+        """Drop all chunks; the tokenizer stays."""
+        self.clear()
+        self.older = {}
+
     def ids(self, text: str | None, end: int | None = None) -> np.ndarray:
         """uint32 ids of the whole text (None: empty), then ``end``."""
         tail = b"" if end is None else end.to_bytes(4, "little")
