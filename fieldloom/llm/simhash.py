@@ -257,7 +257,11 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "do
     Of rows that repeat the kept id, the one with the smallest text stays. Rows with a
     null id all stay, as no id tells them apart.
     """
-    found = near_duplicates(docs, words, radius, id_col, text_col)
+    return without_copies(docs, near_duplicates(docs, words, radius, id_col, text_col), id_col, text_col)
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``keep_one`` for components (``doc_id``, ``component_id``) that were found before."""
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     held = docs.select(F.col(id_col).cast("long").alias("_gone"), F.struct("*").alias("_row")).join(gone, "_gone", "left_anti")
     again = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("fieldloom.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from fieldloom.llm import chat, idfiles, langid, linededup, media, merkle, mixing, packing, queries, shared, simhash, tokens, toxicity  # noqa: E402
+from fieldloom.llm import chat, idfiles, jaccard, langid, linededup, media, merkle, mixing, packing, queries, shared, simhash, tokens, toxicity  # noqa: E402
 
 WORD, BYTE = queries.tokenizer("word_bpe_49k.json"), queries.tokenizer("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, _row int, epoch int, gone string, tokens string"
@@ -160,6 +160,74 @@ def test_one_row_of_a_repeated_id_stays(spark):
     assert sorted(map(tuple, simhash.keep_one(rows).collect())) == [(1, "a b c d e f"), (2, "something else altogether now")]
 
 
+def _shingles(text, words=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+
+
+def _likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _near_texts(n, seed=3, size=100, most=12):
+    """Texts of random words, each after the first an edit of an earlier one or a new one."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        words = rng.choice(out).split() if out and rng.random() < 0.7 else [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for _ in range(rng.randrange(most)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(5000)}"
+        out.append(" ".join(words))
+    return out
+
+
+def _joined(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        p, q = root[a], root[b]
+        root = [min(p, q) if x in (p, q) else x for x in root]
+    return root
+
+
+def test_linked_sets_against_all_pairs():
+    texts = _near_texts(150)
+    sets = [_shingles(t) for t in texts]
+    hashed = [jaccard.shingles(t.encode()) for t in texts]
+    assert [len(s) for s in sets] == [len(h) for h in hashed]
+    near = [(a, b) for a in range(150) for b in range(a) if _likeness(sets[a], sets[b]) >= 0.8]
+    found = list(jaccard.linked(hashed))
+    assert near and set(map(tuple, map(sorted, found))) <= set(map(tuple, map(sorted, near)))
+    assert _joined(150, found) == _joined(150, near)
+
+
+def test_pipeline_links_by_exact_similarity(spark):
+    """An edit in the middle of a text leaves 0.9 of its shingles; texts at 0.6 stay apart."""
+    rng = random.Random(8)
+    rows, away = [], set()
+    for k in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        near, far = list(words), list(words)
+        near[50] = "other"  # 91 of 101
+        for i in (20, 40, 60, 80):
+            far[i] = "other"  # 76 of 116
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
+        away.add(3 * k + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == {i for i, _ in rows} - away
+
+
+def test_jaccard_of_odd_rows(spark, odd, empty):
+    found = jaccard.near_duplicates(odd).collect()
+    by = defaultdict(set)
+    for r in found:
+        by[r["doc_id"]].add(r["component"])
+    assert len(found) == len(ROWS) and by[1] == by[2] and by[3] == by[4] == by[5] == {0} and 0 in by[None]
+    assert by[8] == by[9] and len(by[6] | by[7] | by[10] | by[11] | by[1]) == 5
+    assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+    assert jaccard.keep_one(odd).columns == odd.columns
+
+
 # 2 language
 
 
