@@ -3,8 +3,8 @@
 Pages are grouped by host. A line is boilerplate on a host if it is on at least
 ``min_pages`` distinct pages and on more than ``ratio`` of the host's distinct pages.
 Such lines are dropped from every page of the host. Exact copies of a page count once,
-in both numbers; a page that would lose every line that isn't blank is a copy of
-others as a whole, and keeps its text for document-level dedup.
+in both numbers. A page that would lose every line that isn't blank keeps its text, as in
+the SQL, or with ``empty_pages`` loses them too and has an empty text.
 
 Hot hosts: pages and lines are pre-aggregated by (host, line, page) before counting, so
 neither a host nor a line gathers its rows in one task. A host's dropped lines are at
@@ -45,24 +45,26 @@ def boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5, host_c
     return bad.groupBy("host").agg(F.collect_list("line").alias("gone"))
 
 
-def drop_lines(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5, host_col: str = "source", text_col: str = "text") -> tuple[DataFrame, str, str]:
+def drop_lines(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5, host_col: str = "source", text_col: str = "text", empty_pages: bool = False) -> tuple[DataFrame, str, str]:
     """``docs`` as a struct column, the rewritten text and the number of dropped lines."""
     gone = cut(boilerplate(docs, ratio, min_pages, host_col, text_col), "lines").withColumnRenamed("host", "_h")
     rows = docs.select(F.struct("*").alias("_row"), F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
     rows = rows.join(gone, F.col("_host").eqNullSafe(F.col("_h")), "left")
     kept = F.when(F.col("gone").isNotNull(), F.filter(_lines(F.col("_text")), lambda x: ~_full(x) | ~F.array_contains(F.col("gone"), F.xxhash64(x))))
     rows = rows.withColumn("_kept", kept)
-    rewritten = F.col("_kept").isNotNull() & F.exists("_kept", _full)
+    some = F.exists("_kept", _full)
+    rewritten = F.col("_kept").isNotNull() & (some | F.lit(empty_pages))
+    emptied = ~some & (F.size("_kept") < F.size(_lines(F.col("_text"))))
     return rows.select(
         "_row",
-        F.when(rewritten, F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias("_text"),
+        F.when(rewritten & emptied, F.lit("")).when(rewritten, F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias("_text"),
         F.when(rewritten, F.size(_lines(F.col("_text"))) - F.size("_kept")).otherwise(0).cast("long").alias("_dropped"),
     ), "_text", "_dropped"
 
 
-def without_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def without_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5, host_col: str = "source", text_col: str = "text", empty_pages: bool = False) -> DataFrame:
     """``docs`` with the same columns, boilerplate lines dropped from the text."""
-    rows, text, _ = drop_lines(docs, ratio, min_pages, host_col, text_col)
+    rows, text, _ = drop_lines(docs, ratio, min_pages, host_col, text_col, empty_pages)
     return rows.select(*[F.col(text).alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 

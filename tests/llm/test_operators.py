@@ -390,6 +390,13 @@ def test_copies_of_a_page_count_once(spark):
     assert linededup.without_boilerplate(df, 0.5, 2).where("text = 'the same page\nas ever'").count() == 50
 
 
+def test_pipeline_empties_pages_of_boilerplate(spark):
+    rows = [(k, f"Accept cookies\n\nAll rights reserved\ntext {k}", "a") for k in range(8)] + [(20, "Accept cookies\n\nAll rights reserved", "a"), (21, " \n", "a"), (22, None, "a"), (23, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got[3] == "\ntext 3" and got[20] == "" and got[21] == " \n" and got[22] is None and got[23] == ""
+
+
 def test_lines_of_odd_rows(odd, empty):
     out = linededup.without_boilerplate(odd)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
