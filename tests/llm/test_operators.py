@@ -397,6 +397,15 @@ def test_pipeline_empties_pages_of_boilerplate(spark):
     assert got[3] == "\ntext 3" and got[20] == "" and got[21] == " \n" and got[22] is None and got[23] == ""
 
 
+def test_pipeline_drops_lines_of_small_hosts(spark):
+    rows = [(k, (f"Accept cookies\ntext {k}" if k < 2 else f"text {k}"), "a") for k in range(20)]
+    rows += [(100 + k, (f"Accept cookies\nother {k}" if k < 2 else f"other {k}"), "b") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got[0] == "text 0" and got[1] == "text 1"  # a tenth of the pages
+    assert got[100] == "Accept cookies\nother 0"  # a twentieth isn't over the ratio
+
+
 def test_lines_of_odd_rows(odd, empty):
     out = linededup.without_boilerplate(odd)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
