@@ -228,6 +228,18 @@ def test_jaccard_of_odd_rows(spark, odd, empty):
     assert jaccard.keep_one(odd).columns == odd.columns
 
 
+def test_pipeline_decides_by_row(spark):
+    a, near, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "axbc")
+    near = a + " more"
+    rows = [(1, a, "p"), (1, b, "p"), (1, b, "o"), (2, near, "p"), (2, c, "p"), (3, a, "p"), (None, "no id but words", "p"), (None, "no id but words", "p"), (None, b, "p"), (None, None, "p"), (None, "", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    got = Counter(map(tuple, kept.collect()))
+    empty = [r for r in got if not r[1]]
+    assert len(empty) == 1 and kept.columns == df.columns
+    assert got - Counter(empty) == Counter([(1, a, "p"), (1, b, "o"), (2, c, "p"), (None, "no id but words", "p")])
+
+
 # 2 language
 
 
