@@ -15,8 +15,8 @@ Training is on the driver over a bounded sample; the model is one table of fixed
 which goes to the executors with the code. Each text is scored whole, alone.
 
 Defined results: a null or empty text, and one without letters, has the score of the bias
-alone; equal texts have equal scores; repeated rows and null ids are kept; without a
-toxic example every score is 0; an empty table gives no rows; other columns are ignored.
+alone; equal texts have equal scores; repeated rows and null ids are kept; where no feature
+separates P from U, all scores are that of the bias; without a toxic example every score is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,6 +120,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The non-negative risk of logits of P and U."""
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, rest)
+
+
+def pull(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The direction against which a step moves the logits: the gradient of ``risk``, or, where
+    its second term is negative, minus the gradient of that term."""
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if rest >= 0:
+        return np.full(len(zp), -prior / len(zp)), _sigmoid(zu) / len(zu)
+    return prior * _sigmoid(zp) / len(zp), -_sigmoid(zu) / len(zu)
+
+
 def train(
     toxic: list[str],
     unlabelled: list[str],
@@ -160,15 +175,13 @@ def train(
             rows = rng.integers(data.n, size=min(batch, 4 * data.n))
             row, f, x = data.take(rows)
             z = np.bincount(row, x * w[f], minlength=len(rows)) + w[-1]
-            parts.append((len(rows), row, f, x, np.clip(z, -CLIP, CLIP), np.abs(z) < CLIP))
-        (np_, prow, pf, px, pz, pin), (nu, urow, uf, ux, uz, uin) = parts
-        negative = np.logaddexp(0, uz).mean() - prior * np.logaddexp(0, pz).mean()
-        if negative >= 0:
-            gp, gu = np.full(np_, -prior / np_), _sigmoid(uz) / nu
-        else:
-            gp, gu = prior * _sigmoid(pz) / np_, -_sigmoid(uz) / nu
+            parts.append((row, f, x, np.clip(z, -CLIP, CLIP), np.abs(z) < CLIP))
+        (prow, pf, px, pz, pin), (urow, uf, ux, uz, uin) = parts
+        gp, gu = pull(pz, uz, prior)
         gp, gu = gp * pin, gu * uin
-        g = np.bincount(pf, px * gp[prow], minlength=size + 1) + np.bincount(uf, ux * gu[urow], minlength=size + 1)
+        g = np.zeros(size + 1)  # no feature may have passed; the bias is learned all the same
+        g += np.bincount(pf, px * gp[prow], minlength=size + 1)
+        g += np.bincount(uf, ux * gu[urow], minlength=size + 1)
         g[-1] = gp.sum() + gu.sum()
         g[:-1] += decay * w[:-1]
         m = 0.9 * m + 0.1 * g
@@ -188,10 +201,9 @@ def _calibrated(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, fl
     for scale in np.geomspace(0.5, 16, 24):
         for shift in np.linspace(-24, 24, 97):
             p, u = (np.clip(scale * z + shift, -CLIP, CLIP) for z in (zp, zu))
-            rest = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-            risk = prior * np.logaddexp(0, -p).mean() + max(0.0, rest)
-            if risk < best[0] - 1e-9:
-                best = (risk, float(scale), float(shift))
+            found = risk(p, u, prior)
+            if found < best[0] - 1e-9:
+                best = (found, float(scale), float(shift))
     return best[1:]
 
 
