@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +31,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    path = shared.own_path(spark, "token-files")
     idfiles.write(_table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2)
     rows = idfiles.read(spark, path)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

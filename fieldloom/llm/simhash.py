@@ -18,8 +18,8 @@ bring every possible partner into the shard's own task.
 
 Defined results: a null or empty text, and one without words, has fingerprint zero,
 linked like any other; repeated rows have the same results each; rows with a null id get
-a fingerprint, and the smallest id of their class (null if none has an id); an empty
-table gives no rows; other columns are ignored.
+a fingerprint, link others as any row does, and have the smallest id of their component
+(null if none has an id); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +31,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm.shared import cut, drop_cut, release_memory
+from fieldloom.llm.shared import cut, drop_cut, join_classes, one_of_each, release_memory
 
 BITS = 64
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -73,18 +72,19 @@ def simhash(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") if n else 0
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed long; ``hashed``: also ``text_hash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [simhash(x.as_py(), words, seed) for x in batch.column(1)]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], names=["doc_id", "fp", *more])
         release_memory()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    more = ["text_hash"] if hashed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *[F.xxhash64(text_col).alias(c) for c in more])
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in more)]))
 
 
 class BKTree:
@@ -238,13 +238,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components didn't settle")
 
 
+def _components(fps: DataFrame, radius: int) -> DataFrame:
+    """``fps`` with ``top``, the smallest fingerprint of the component, and ``component_id``, its
+    smallest id. Fingerprints are the vertices, so that classes without any id link others too."""
+    sizes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash")
+    stars = components(links(sizes.select("fp", F.col("fp").alias("rep")), radius))
+    members = stars.select(F.col("a").alias("fp"), F.col("b").alias("top")).union(stars.select("b", "b").distinct())
+    least = members.join(sizes, "fp").groupBy("top").agg(F.min("rep").alias("least"))
+    linked = members.join(least, "top")
+    classes = sizes.join(linked, "fp", "left")
+    classes = classes.select("fp", "n", F.coalesce("top", "fp").alias("top"), F.when(F.col("top").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+    return join_classes(fps, cut(classes, "simhash"), "fp").drop("n")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest id of the document's component."""
     fps = cut(fingerprints(docs, words, id_col=id_col, text_col=text_col), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    stars = components(links(classes.where("rep IS NOT NULL"), radius))
-    labels = classes.join(stars.select(F.col("a").alias("rep"), "b"), "rep", "left").select("fp", F.coalesce("b", "rep").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return _components(fps, radius).select("doc_id", "fp", "component_id")
 
 
 def fp_hex(fp: str = "fp") -> Column:
@@ -252,22 +262,11 @@ def fp_hex(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id.
+    """One row of each component: that of the smallest id, null ids last.
 
-    Of rows that repeat the kept id, the one with the smallest text stays. Rows with a
-    null id all stay, as no id tells them apart.
+    Rows are told apart by id and text, so rows of one id and unlike texts all stay. Of rows
+    that are the same in both, one stays, the first by its JSON text.
     """
-    return without_copies(docs, near_duplicates(docs, words, radius, id_col, text_col), id_col, text_col)
-
-
-def without_copies(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``keep_one`` for components (``doc_id``, ``component_id``) that were found before."""
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    held = docs.select(F.col(id_col).cast("long").alias("_gone"), F.struct("*").alias("_row")).join(gone, "_gone", "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    single = held.join(again, "_gone", "left_anti")
-    if again.isEmpty():
-        return single.select("_row.*")
-    order = W.partitionBy("_gone").orderBy(F.col(f"_row.{text_col}"))
-    first = held.join(again, "_gone", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return single.select("_row.*").union(first.select("_row.*"))
+    fps = cut(fingerprints(docs, words, id_col=id_col, text_col=text_col, hashed=True), "simhash")
+    found = _components(fps, radius).select("doc_id", "text_hash", F.col("top").alias("component"))
+    return one_of_each(docs, found, id_col, text_col)
