@@ -45,7 +45,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, text, dropped = linededup.drop_lines(_table(spark, sf_dir, "documents"), ratio=0.05, min_pages=5)
+    rows, text, dropped = linededup.drop_lines(_table(spark, sf_dir, "documents"), ratio=0.05)
     return rows.select("_row.doc_id", "_row.source", F.col(text).alias("text"), F.col(dropped).alias("lines_dropped"))
 
 
