@@ -3,9 +3,12 @@
 Online, in the order of a partition's rows: a document gives its full windows
 first; its rest goes to the fill level that makes the sum over levels of the
 squared count of partially filled windows smallest (a new window is level 0). The
-counts are a level array. Windows that are open at the end of a partition (or when
-``max_open`` are open) are merged by cutting pieces, so that at most one of them
-stays partly empty.
+counts are a level array. Windows that are open at the end of a partition are merged by
+cutting pieces, so that at most one of them stays partly empty.
+
+``max_open`` bounds a task's memory: where more windows are open, which the rule itself
+seldom leads to, they are merged in the same way, and the rule starts anew. All rows are
+packed either way; 4096 windows of 2048 ids are 32 MB.
 
 Nothing is shuffled: each input partition packs its own rows, and holds only its
 open windows. A lost executor's partition is packed again in the same way.
@@ -29,11 +32,14 @@ from pyspark.sql import types as T
 #: A piece: document id, ids before it in its document, its ids, ids of the document.
 Piece = tuple[object, int, np.ndarray, int]
 
+#: Windows that a task holds open at most, unless a caller says otherwise.
+MAX_OPEN = 4096
+
 
 class SumOfSquares:
     """The packer of one partition."""
 
-    def __init__(self, capacity: int, max_open: int = 4096):
+    def __init__(self, capacity: int, max_open: int = MAX_OPEN):
         self.capacity, self.max_open = capacity, max_open
         self.count = np.zeros(capacity + 1, dtype=np.int64)
         self.at: list[list[list[Piece]]] = [[] for _ in range(capacity)]
@@ -118,6 +124,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     cache_chunks: int | None = None,
+    max_open: int = MAX_OPEN,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset``
     and ``ids``, the piece's ids as little-endian unsigned 32-bit integers."""
@@ -137,7 +144,7 @@ def pack(
         from fieldloom.llm.shared import release_memory
         from fieldloom.llm.tokens import encoder as kept
 
-        encoder, packer = kept(tokenizer_file, spaces=True), SumOfSquares(capacity)
+        encoder, packer = kept(tokenizer_file, spaces=True), SumOfSquares(capacity, max_open)
         encoder.limit = cache_chunks or encoder.limit
         next_id = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
