@@ -51,10 +51,10 @@ def _share(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     x = children.withColumn("ratio", F.col("cap") / F.greatest(F.col("w"), F.lit(1)))
     x = x.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
     x = x.withColumn("w_from", F.sum("w").over(here) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    x = x.withColumn("full", F.expr("cap * w_from <= (node_budget - cap_before) * w"))
+    x = x.withColumn("full", F.expr("CAST(cap AS decimal(19)) * CAST(w_from AS decimal(19)) <= CAST(node_budget - cap_before AS decimal(19)) * CAST(w AS decimal(19))"))
     x = x.withColumn("rest", F.col("node_budget") - F.sum(F.expr("if(full, cap, 0)")).over(here))
     x = x.withColumn("w_rest", F.sum(F.expr("if(full, 0, w)")).over(here))
-    x = x.withColumn("budget", F.expr("if(full, cap, (rest * w) div greatest(w_rest, 1))"))
+    x = x.withColumn("budget", F.expr("if(full, cap, CAST(rest AS decimal(19)) * CAST(w AS decimal(19)) div greatest(w_rest, 1))"))
     x = x.withColumn("over", F.col("rest") - F.sum(F.expr("if(full, 0, budget)")).over(here))
     x = x.withColumn("place", F.sum(F.expr("if(full, 0, 1)")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     return x.withColumn("budget", F.expr("budget + if(NOT full AND place <= over, 1, 0)"))
