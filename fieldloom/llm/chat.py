@@ -11,9 +11,9 @@ A conversation is one row of text, as a document is, and is rendered in one task
 are gathered by conversation, no further.
 
 Defined results: a null text or role is an empty one; turns are ordered by number (null
-first), ties by role, then text; repeated rows are turns each; rows with a null
-conversation id form one conversation; an empty table gives no rows; other columns are
-ignored.
+first), ties by role, then text; repeated rows are turns each; a row with a null
+conversation id is a conversation of its own, as nothing says which others it goes with;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +87,9 @@ def format_conversations(turns: DataFrame, tokenizer_file: str, trained: str = "
     """One row per conversation: ``conv_id, formatted, ids, starts, ends, mask``; the
     offsets are code points in ``formatted``."""
     each = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.select("conv_id", each.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    said = turns.select("conv_id", each.alias("t"))
+    rows = said.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = rows.union(said.where("conv_id IS NULL").select("conv_id", F.array("t")))
     rows = rows.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
