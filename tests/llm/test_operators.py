@@ -151,13 +151,28 @@ def test_keep_one(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and simhash.keep_one(empty).count() == 0
     ids = Counter(r["doc_id"] for r in kept.collect())
-    assert ids[1] == 1 and ids[2] == 0 and ids[3] == 1 and ids[4] == 0 and ids[None] == 2
+    assert ids[1] == 1 and ids[2] == 0 and ids[3] == 1 and ids[4] == 0 and ids[None] == 1
     assert ids[8] == 1
 
 
-def test_one_row_of_a_repeated_id_stays(spark):
-    rows = spark.createDataFrame([(1, "b c d e f g"), (1, "a b c d e f"), (2, "something else altogether now")], "doc_id long, text string")
-    assert sorted(map(tuple, simhash.keep_one(rows).collect())) == [(1, "a b c d e f"), (2, "something else altogether now")]
+def test_unlike_rows_of_an_id_stay(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = spark.createDataFrame([(1, a), (5, a), (5, b), (1, b + " c"), (7, "something else altogether now")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(rows).collect())) == sorted([(1, a), (5, b), (1, b + " c"), (7, "something else altogether now")])
+
+
+def test_classes_without_ids_link(spark, monkeypatch):
+    """1 and 2 are four bits apart, and two each from a class whose rows have no id."""
+    rows = spark.createDataFrame([(1, 0b1100), (2, 0b0011), (None, 0), (None, 0), (3, 0x7F00), (None, -1)], "doc_id long, fp long")
+    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash._components(rows, 2).collect()}
+    assert got == {(1, 0b1100): 1, (2, 0b0011): 1, (None, 0): 1, (3, 0x7F00): 3, (None, -1): None}
+
+
+def test_common_classes_are_joined_whole(spark):
+    rows = spark.createDataFrame([(k, 7 if k < 250 else k) for k in range(600)], "doc_id long, fp long")
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("fp <> 300")
+    got = shared.join_classes(rows, classes, "fp")
+    assert {r["doc_id"]: (r["least"], r["n"]) for r in got.collect()} == {k: (0, 250) if k < 250 else (k, 1) if k != 300 else (None, None) for k in range(600)}
 
 
 def _shingles(text, words=5):
@@ -267,6 +282,36 @@ def test_language_of_odd_rows(odd, empty):
     assert langid.predict(empty, model).count() == 0 and langid.accepted(empty, model).count() == 0
 
 
+def test_language_by_hand(spark, documents, texts):
+    """Features one by one, the mean of their rows, softmax with the temperature."""
+    model = langid.fit(documents, shared.fold("doc_id", 5) != 0)
+
+    def mixed(h):
+        h &= 0xFFFFFFFF
+        return (h ^ (h >> 15)) & (len(model.table) - 1)
+
+    def by_hand(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        data = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode())
+        total, n = np.zeros(len(model.languages)), 0
+        padded = b" " + data + b" "
+        for i in range(len(padded) - 2):
+            x = padded[i : i + 4]
+            three = (x[0] * 0x9E3779B1 + x[1] * 0x85EBCA6B + x[2] * 0xC2B2AE35) & 0xFFFFFFFF
+            if x[1] != 32:
+                total, n = total + model.table[mixed(three)], n + 1
+            if len(x) == 4 and x[1] != 32 and x[2] != 32:
+                total, n = total + model.table[mixed(three * 31 + x[3] * 0x27D4EB2F)], n + 1
+        e = np.exp((total / max(n, 1) - (total / max(n, 1)).max()) / model.temperature)
+        return model.languages[int(np.argmax(e))], float(e.max() / e.sum())
+
+    got = {r["doc_id"]: r for r in langid.predict(documents, model).collect()}
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[:120]:
+        lang, score = by_hand(texts[i])
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-9
+
+
 def test_language_features_of_slabs(monkeypatch):
     model = langid.Model(["a", "b"], np.random.default_rng(1).normal(size=(1 << 10, 2)))
     whole = model.logits(LONG)
@@ -392,7 +437,7 @@ def test_boilerplate_of_a_host(spark):
     got = {r["doc_id"]: r["text"] for r in linededup.without_boilerplate(df, 0.5, 5).collect()}
     assert got[3] == "\ntext number 3"
     assert got[21] == "Accept cookies\nother 1"  # too few pages
-    assert got[40] == "Accept cookies"  # nothing else on the page
+    assert got[40] == ""  # nothing else on the page
     assert got[50] is None and got[51] == "" and got[52] == "x"
 
 
@@ -500,6 +545,12 @@ def test_chat_odd_rows(spark):
     assert chat.digests(chat.format_conversations(df.limit(0), BYTE)).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, k, "assistant", f"said {k}") for k in range(3)] + [(1, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    got = sorted((str(r["conv_id"]), r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.format_conversations(df, BYTE)).collect())
+    assert got == [("1", 1, 1), *[("None", 1, 6)] * 3]
+
+
 def test_no_token_reaches_over_a_span(spark):
     df = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(TRICKY)], "conv_id long, turn long, role string, text string")
     r = chat.format_conversations(df, BYTE).first()
@@ -534,6 +585,51 @@ def test_toxicity_separates(spark):
     assert np.mean([got[k] >= 0.3 for k in held if k % 9]) < 0.05
 
 
+@pytest.mark.parametrize("shift", [0.0, -3.0])
+def test_risk_is_the_plain_formula(shift):
+    rng = np.random.default_rng(4)
+    zp, zu, prior = rng.normal(1, 2, 9), rng.normal(shift, 2, 14), 0.4
+
+    def loss(z):
+        return float(np.mean([np.log(1 + np.exp(-x)) for x in z]))
+
+    def rest(zp, zu):
+        return loss(-zu) - prior * loss(-zp)
+
+    assert abs(toxicity.risk(zp, zu, prior) - (prior * loss(zp) + max(0.0, rest(zp, zu)))) < 1e-12
+    ascends = rest(zp, zu) < 0
+    assert ascends == (shift < 0)
+    gp, gu = toxicity.pull(zp, zu, prior)
+    target = (lambda p, u: -rest(p, u)) if ascends else (lambda p, u: prior * loss(p) + rest(p, u))
+    for k, g in [*((k, gp[k]) for k in range(9)), *((9 + k, gu[k]) for k in range(14))]:
+        z = np.concatenate([zp, zu])
+        hi, lo = z.copy(), z.copy()
+        hi[k] += 1e-6
+        lo[k] -= 1e-6
+        assert abs((target(hi[:9], hi[9:]) - target(lo[:9], lo[9:])) / 2e-6 - g) < 1e-6
+
+
+def test_toxicity_without_separating_words(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(20)) for _ in range(140)]
+    model = toxicity.train(texts[:40], texts[40:], 0.3)
+    scores = {round(model.score(t), 12) for t in texts}
+    assert len(scores) == 1 and 0 < scores.pop() < 1
+
+
+def test_toxicity_scores_by_hand(spark, documents, texts):
+    model = toxicity.fit(documents, spark.read.parquet(f"{SMALL}/labels.parquet"), shared.fold("doc_id", 4) != 2)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(documents, model).collect()}
+    for i in sorted(texts)[:40]:
+        words = [w.lower() for w in toxicity._WORD.findall(texts[i] or "")]
+        total = 0.0
+        for w in words:
+            named = {"w" + w} | {"p" + w[:n] for n in (4, 5, 6) if len(w) > n}
+            total += sum(float(model.weights[b]) for b in {zlib.crc32(x.encode()) % len(model.weights) for x in named})
+        z = model.bias + (toxicity.SCALE * total / len(words) if words else 0.0)
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -6, 6)))) < 1e-5
+
+
 def test_toxicity_query(spark, documents):
     got = queries.op8_toxicity(spark, SMALL).collect()
     assert len(got) == documents.count()
@@ -563,6 +659,41 @@ def test_media_query(spark, texts):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
 
 
+def _plain_hash(image):
+    """Each cell of a grid by overlap areas, then the cosine sums term by term."""
+    n, low = media.GRID, media.LOW
+    rows, columns = image.shape
+
+    def share(size, k, cell):
+        return max(0.0, min((k + 1) * size / n, cell + 1) - max(k * size / n, cell)) * n / size
+
+    a = np.array([[share(rows, k, r) for r in range(rows)] for k in range(n)])
+    b = np.array([[share(columns, k, c) for c in range(columns)] for k in range(n)])
+    grid = a @ image.astype(float) @ b.T
+    found = [sum(grid[y, x] * np.cos(np.pi / n * (y + 0.5) * u) * np.cos(np.pi / n * (x + 0.5) * v) for y in range(n) for x in range(n)) for u in range(low) for v in range(low)]
+    found = np.round(found, 6)
+    return found, np.median(found[1:])
+
+
+def test_features_and_stored_bytes_by_hand(spark, texts):
+    import sys
+
+    got = {r["doc_id"]: r for r in queries.op9_media(spark, SMALL).collect()}
+    for i in sorted(texts, key=lambda i: len(texts[i]))[:25]:
+        payload = texts[i].encode()
+        payload += b"\xff" * (-len(payload) % 576 if payload else 576)
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 32)
+        found, middle = _plain_hash(image)
+        bits = bin(int(got[i]["feature"], 16) | 1 << 64)[3:]
+        clear = np.abs(found - middle) > 1e-4
+        assert clear.sum() > 50 and all((x > middle) == (bit == "1") for x, bit, sure in zip(found, bits, clear) if sure)
+        stored = media.encode(payload, 32)
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        # the stored form as a PNG reader sees it: signature, length, size, bit depth 8, grey
+        assert stored[:8] == b"\x89PNG\r\n\x1a\n" and stored[12:16] == b"IHDR" and stored[16:29] == (32).to_bytes(4, "big") + len(image).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    assert sys.byteorder == "little"
+
+
 @pytest.mark.parametrize("kinds", [[0], [1], [2], [3], [4], [0, 1, 1, 2, 2, 3, 4, 4, 1, 0]])
 def test_all_filters_are_undone(kinds):
     rng = np.random.default_rng(7)
@@ -637,13 +768,31 @@ def test_packing_is_whole_and_tight(documents, texts, capacity):
 
 
 def test_sum_of_squares_choice():
-    p = packing.SumOfSquares(10)
-    for k in range(3):
-        list(p.add(k, np.arange(6)))
-    assert p.count[6] == 3 or p.count[6] + 2 * 0 <= 3
-    before = (p.count**2).sum()
-    done = list(p.add(9, np.arange(4)))  # fits a window of six exactly
-    assert len(done) == 1 and (p.count**2).sum() < before
+    """Each placement against all places tried out."""
+    rng, capacity = random.Random(11), 40
+    p = packing.SumOfSquares(capacity, max_open=10**9)
+    counts = Counter()
+    for k in range(3000):
+        size = rng.choice([rng.randint(1, 39), 13, 20, 27])
+
+        def after(level):
+            c = counts.copy()
+            if level:
+                c[level] -= 1
+            if level + size < capacity:
+                c[level + size] += 1
+            return sum(n * n for n in c.values())
+
+        places = [0, *[level for level in range(1, capacity - size + 1) if counts[level] > 0]]
+        least = min(map(after, places))
+        level = max(x for x in places if after(x) == least)  # ties: the fullest
+        if level:
+            counts[level] -= 1
+        if level + size < capacity:
+            counts[level + size] += 1
+        done = list(p.add(k, np.arange(size)))
+        assert len(done) == (level + size == capacity)
+        assert {i: int(n) for i, n in enumerate(p.count) if n} == {i: n for i, n in counts.items() if n}
 
 
 def test_open_windows_are_bounded():
