@@ -67,14 +67,24 @@ def wall(geometry, kind: str = "none", radius: float = 0.0) -> Expr | None:
     return sqrt(x * x + y * y) < radius
 
 
-def disc_level(geometry, cx: float, cy: float, radius2: float) -> Expr:
+Level = Callable[[Expr, Expr], Expr]
+
+
+def disc(cx: float, cy: float, radius2: float) -> Level:
     """A level set: negative inside a disc of that squared radius."""
-    x, y = geometry.x() - cx, geometry.y() - cy
-    return x * x + y * y - radius2
+    return lambda x, y: (x - cx) * (x - cx) + (y - cy) * (y - cy) - radius2
+
+
+def half_plane(a: float, b: float, c: float) -> Level:
+    return lambda x, y: x * a + y * b - c
+
+
+def disc_level(geometry, cx: float, cy: float, radius2: float) -> Expr:
+    return disc(cx, cy, radius2)(geometry.x(), geometry.y())
 
 
 def half_plane_level(geometry, a: float, b: float, c: float) -> Expr:
-    return geometry.x() * a + geometry.y() * b - c
+    return half_plane(a, b, c)(geometry.x(), geometry.y())
 
 
 def smallest_relative(a: Expr, b: Expr) -> Expr:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.functions.expr import Expr, safe_div, total, var, where
+from fieldloom.functions.expr import Expr, maximum, minimum, safe_div, total, var, where
 from fieldloom.plans.relation import Boundary, Plan
 
 CROSS = {"xm": (-1, 0), "xp": (1, 0), "ym": (0, -1), "yp": (0, 1)}
@@ -109,10 +109,14 @@ def zero_conductor(field: Plan, c: str, mask: str) -> Plan:
     return field.with_(**{c: where(var(mask) >= 0.5, var(c), 0.0)})
 
 
+#: A crossing is no nearer than this part of the way; nearer ones would have unbounded weights.
+CUT_LEAST = 1e-3
+
+
 def cut_distance(here: Expr, there: Expr) -> Expr:
     """Part of the way to a neighbour at which the level set crosses zero (1: it doesn't)."""
     crosses = (here < 0.0) & (there >= 0.0)
-    return where(crosses, safe_div(here, here - there, 1.0), 1.0)
+    return where(crosses, minimum(maximum(safe_div(here, here - there, 1.0), CUT_LEAST), 1.0), 1.0)
 
 
 def shortley_weller(u: str, theta: dict[str, Expr], dx: float, dy: float) -> Expr:

@@ -15,7 +15,7 @@ from fieldloom.functions.linalg import eig2, lorentz_inverse, solve2
 from fieldloom.operators import amr, cells, coupling, elliptic, fv, grid, halo, problems, reduce, stencil
 from fieldloom.operators.grid import Box, Geometry, PolarGeometry
 from fieldloom.plans import time as tm
-from fieldloom.plans.relation import Plan, raw, rounded
+from fieldloom.plans.relation import Edges, Plan, raw, rounded
 
 N = 32
 SHAPE = (N, N)
@@ -167,10 +167,10 @@ def _schur() -> Plan:
     return x.select("i", "j", "axx", "axy", "rhs", vx=(inv[0][0] * px + inv[0][1] * py) / var("rho"), vy=(inv[1][0] * px + inv[1][1] * py) / var("rho"))
 
 
-def _polar() -> Plan:
+def _polar(**more) -> Plan:
     g = PolarGeometry(N, N, 0.3, 1.0)
     x = _gas().select("i", "j", "rho", "mx", "my")
-    return fv.rhs_polar(x, COLD, SHAPE, g, source=lambda u, r: COLD.polar_geometric_source(u, r))
+    return fv.rhs_polar(x, COLD, SHAPE, g, source=lambda u, r: COLD.polar_geometric_source(u, r), **more)
 
 
 def _jacobian_vector() -> Plan:
@@ -238,7 +238,6 @@ def plans() -> dict[str, Plan]:
     g = Geometry(N, N)
     mask = u.with_(mask=where(_disc() < 0.0, 1.0, 0.0))
     gas_mask = gas.with_(mask=where(_disc() < 0.0, 1.0, 0.0))
-    gas_level = gas.with_(level=_disc())
     inside = {"limiter": "minmod", "riemann": "hll"}
     coarse, fine = _amr_pair()
     pois = u.with_(f=var("u") / 3.0 - 10.0, mask=where(_disc() < 0.0, 1.0, 0.0))
@@ -325,11 +324,14 @@ def plans() -> dict[str, Plan]:
         "rhs_with_source": _round(_only_rates(fv.rhs(hall, GAS, SHAPE, H, H, source=lorentz, aux=["grad_x", "grad_y", "b_z"])), 4),
         "rhs_cached_speeds": _round(_only_rates(fv.rhs_cached_speeds(gas, GAS, SHAPE, H, H)), 4),
         "rhs_masked": _round(_only_rates(fv.rhs_masked(gas_mask, GAS, SHAPE, H, H, "mask", **inside)), 4),
-        "rhs_cutcell": _round(_only_rates(fv.rhs_cut_cells(gas_level, GAS, SHAPE, H, H, "level")), 4),
-        "volume_fraction": _round(fv.rhs_cut_cells(gas_level, GAS, SHAPE, H, H, "level").select("i", "j", "vol", "inside")),
+        "rhs_cutcell": _round(_only_rates(fv.rhs_cut_cells(gas, GAS, SHAPE, H, H, cells.disc(0.5, 0.5, 0.16), geometry=g)), 4),
+        "volume_fraction": _round(fv.rhs_cut_cells(gas, GAS, SHAPE, H, H, cells.disc(0.5, 0.5, 0.16), geometry=g).select("i", "j", "vol", "inside")),
         "rhs_exb": _round(_only_rates(fv.rhs(aux.select("i", "j", "grad_x", "grad_y", n=var("u")), drift, SHAPE, H, H, aux=["grad_x", "grad_y"])), 4),
         "rhs_global_speed": _round(_only_rates(fv.global_speed_rhs(u, WIND, SHAPE, H, H, 1.5))),
         "polar_rhs": _round(_only_rates(_polar()), 4),
+        "polar_rhs_wall": _round(_only_rates(_polar(wall=True)), 4),
+        "rhs_copied_edges": _round(_only_rates(fv.rhs(gas, GAS, SHAPE, H, H, bc="foextrap", **inside)), 4),
+        "rhs_fixed_edges": _round(_only_rates(fv.rhs(u, WIND, SHAPE, H, H, bc=(Edges(("dirichlet", 50.0), "foextrap"), ("dirichlet", 2.0)), limiter="vanleer", viscosity=0.01)), 4),
         "isothermal_hll": _round(_only_rates(fv.rhs(gas.select("i", "j", "rho", "mx", "my"), COLD, SHAPE, H, H, riemann="hll")), 4),
         # time
         "step_fe": _round(tm.euler(u, _advect, step_names, 0.01)),

@@ -7,7 +7,9 @@ expressions for another SQL engine, with neighbours as self-joins instead of win
 A field has one row per cell, keyed by ``i`` and ``j`` (0-based), and one double column per
 component. Shifts along an axis are ``lag`` and ``lead`` over windows partitioned by the
 other axis: one shuffle per axis, however many neighbours, and no task ever holds more
-than a line of cells at once. They need a complete grid.
+than a line of cells at once. They need a complete grid. A plan knows along which axis its
+rows were last moved (``along``); the next shift starts with that axis, where the rows lie
+right already, so a chain of stages needs one shuffle a stage.
 """
 
 from __future__ import annotations
@@ -23,7 +25,34 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.expr import Expr, Var, wrap
 
-Boundary = Any  # "periodic", "foextrap", or ("dirichlet", value)
+Boundary = Any  # "periodic", "foextrap", ("dirichlet", value), or Edges of the latter two
+
+
+@dataclass(frozen=True)
+class Edges:
+    """Different rules at the lower and the upper end of an axis."""
+
+    lo: Boundary
+    hi: Boundary
+
+    def __post_init__(self):
+        if "periodic" in (self.lo, self.hi):
+            raise ValueError("an axis is periodic at both ends or at none")
+
+
+def axis_rules(bc: Boundary) -> tuple[Boundary, Boundary]:
+    """The rules of both axes."""
+    return bc if isinstance(bc, tuple) and len(bc) == 2 and bc[0] != "dirichlet" else (bc, bc)
+
+
+def _side(bc: Boundary, by: int) -> Boundary:
+    """The rule that a move meets."""
+    return (bc.hi if by > 0 else bc.lo) if isinstance(bc, Edges) else bc
+
+
+def derived_rules(bc: Boundary) -> tuple[Boundary, Boundary]:
+    """The rules of auxiliary fields: periodic axes stay so, all other ends copy."""
+    return tuple("periodic" if b == "periodic" else "foextrap" for b in axis_rules(bc))
 
 
 @dataclass(frozen=True)
@@ -99,6 +128,8 @@ class Plan:
     """A relation; methods give new ones."""
 
     columns: list[str]
+    #: The axis along whose lines the rows lie, if known.
+    along: str | None = None
 
     def _frame(self, at: Engine) -> DataFrame:
         raise NotImplementedError
@@ -133,8 +164,7 @@ class Plan:
 
     def shift(self, columns: list[str], offsets: dict[str, tuple[int, int]], shape: tuple[int, int], bc: tuple[Boundary, Boundary] | Boundary = "periodic") -> Plan:
         """New columns ``{column}_{suffix}``: the value at the cell moved by an offset."""
-        both = bc if isinstance(bc, tuple) and len(bc) == 2 and bc[0] != "dirichlet" else (bc, bc)
-        return Shift(self, columns, offsets, shape, both)
+        return Shift(self, columns, offsets, shape, axis_rules(bc))
 
     def join(self, other: Plan, on: list[str], how: str = "inner") -> Plan:
         return Join(self, other, on, how)
@@ -272,7 +302,7 @@ def staged(exprs: dict[str, Expr]) -> tuple[list[dict[str, Expr]], dict[str, Exp
 
 class Project(Plan):
     def __init__(self, child: Plan, exprs: dict[str, Expr]):
-        self.child, self.exprs, self.columns = child, exprs, list(exprs)
+        self.child, self.exprs, self.columns, self.along = child, exprs, list(exprs), child.along
 
     def _frame(self, at):
         df = at.frame(self.child)
@@ -292,7 +322,7 @@ class Project(Plan):
 
 class Filter(Plan):
     def __init__(self, child: Plan, test: Expr):
-        self.child, self.test, self.columns = child, test, child.columns
+        self.child, self.test, self.columns, self.along = child, test, child.columns, child.along
 
     def _frame(self, at):
         return at.frame(self.child).where(self.test.column())
@@ -308,10 +338,12 @@ def _moved(column: str, by: int, axis: str, n: int, bc: Boundary) -> Column:
     if by == 0:
         return F.col(column)
     inside = F.lead(column, by).over(over) if by > 0 else F.lag(column, -by).over(over)
+    bc = _side(bc, by)
     if bc == "periodic":
         return F.coalesce(inside, F.lag(column, n - by).over(over) if by > 0 else F.lead(column, n + by).over(over))
     if bc == "foextrap":
-        edge = F.last(column).over(over.rowsBetween(0, W.unboundedFollowing)) if by > 0 else F.first(column).over(over.rowsBetween(W.unboundedPreceding, 0))
+        line = over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # found once a line
+        edge = F.last(column).over(line) if by > 0 else F.first(column).over(line)
         return F.coalesce(inside, edge)
     _, value = bc
     outside = F.lit(None).cast("double")
@@ -328,19 +360,26 @@ class Shift(Plan):
     def __init__(self, child, columns, offsets, shape, bc):
         self.child, self.cols, self.offsets, self.shape, self.bc = child, columns, offsets, shape, bc
         self.columns = child.columns + [f"{c}_{s}" for s in offsets for c in columns]
+        moves = list(offsets.values())
+        self.diagonal = any(dx and dy for dx, dy in moves)
+        axes = [a for a, k in (("i", 0), ("j", 1)) if any(m[k] for m in moves)]
+        if not self.diagonal and child.along in axes:
+            axes = [child.along, *[a for a in axes if a != child.along]]
+        self.order, self.along = axes, axes[-1] if axes else child.along
 
     def _frame(self, at):
         df = at.frame(self.child)
-        (nx, ny), (bx, by) = self.shape, self.bc
-        x_moves = sorted({dx for dx, _ in self.offsets.values() if dx})
-        along_x = {f"_{c}_x{k}": _moved(c, k, "i", nx, bx) for k in x_moves for c in self.cols}
-        df = df.withColumns(along_x) if along_x else df
-        out = {}
-        for suffix, (dx, dy) in self.offsets.items():
-            for c in self.cols:
-                base = f"_{c}_x{dx}" if dx else c
-                out[f"{c}_{suffix}"] = _moved(base, dy, "j", ny, by)
-        return df.withColumns(out).select(*self.columns)
+        n, rules = dict(zip("ij", self.shape)), dict(zip("ij", self.bc))
+        if self.diagonal:
+            x_moves = sorted({dx for dx, _ in self.offsets.values() if dx})
+            df = df.withColumns({f"_{c}_x{k}": _moved(c, k, "i", n["i"], rules["i"]) for k in x_moves for c in self.cols})
+            out = {f"{c}_{s}": _moved(f"_{c}_x{dx}" if dx else c, dy, "j", n["j"], rules["j"]) for s, (dx, dy) in self.offsets.items() for c in self.cols}
+            return df.withColumns(out).select(*self.columns)
+        for axis in self.order:
+            by = {s: m["ij".index(axis)] for s, m in self.offsets.items()}
+            df = df.withColumns({f"{c}_{s}": _moved(c, k, axis, n[axis], rules[axis]) for s, k in by.items() if k for c in self.cols})
+        still = {f"{c}_{s}": F.col(c) for s, m in self.offsets.items() if m == (0, 0) for c in self.cols}
+        return (df.withColumns(still) if still else df).select(*self.columns)
 
     def _sql(self, at):
         t = at.name(self.child)
@@ -348,6 +387,7 @@ class Shift(Plan):
 
         def index(axis: str, by_: int, n: int, bc: Boundary) -> str:
             x = f"c.{axis} + ({by_})"
+            bc = _side(bc, by_)
             if bc == "periodic":
                 return f"((({x}) % {n}) + {n}) % {n}"
             if bc == "foextrap":
@@ -360,6 +400,7 @@ class Shift(Plan):
             for c in self.cols:
                 value = f"s{k}.{c}"
                 for axis, by_, n, bc in (("i", dx, nx, bx), ("j", dy, ny, by)):
+                    bc = _side(bc, by_)
                     if bc not in ("periodic", "foextrap") and by_:
                         value = f"CASE WHEN c.{axis} + ({by_}) < 0 OR c.{axis} + ({by_}) >= {n} THEN {2.0 * bc[1]!r}::DOUBLE - {value} ELSE {value} END"
                 out.append(f"{value} AS {c}_{suffix}")
