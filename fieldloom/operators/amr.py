@@ -107,12 +107,9 @@ def box_cells(found: Iterable[Box]) -> Plan:
     A box is spread over its own cells once, so that coverage and lookup are equal-cell
     joins, which shuffle by cell and never compare all cells with all boxes.
     """
-    out: Plan | None = None
-    for k, b in enumerate(found):
-        nx, ny = b.shape
-        x = Rows(["i", "box_id"], [(b.i0 + q, k) for q in range(nx)]).explode("j", [b.j0 + q for q in range(ny)]).select("i", "j", "box_id")
-        out = x if out is None else out.union(x)
-    return out
+    from fieldloom.plans.relation import BoxCells
+
+    return BoxCells(list(found)).select("i", "j", "box_id")
 
 
 def covered(coarse: Plan, fine_boxes: list[Box], r: int = RATIO) -> Plan:

@@ -1,13 +1,16 @@
 """Elliptic solvers.
 
-Three ways, for three sizes:
+Four ways:
 
 * ``dft_poisson``: separable transforms as joins with a table of angles and sums; relational
   throughout, exact, for small grids and checks.
-* ``krylov``: matrix-free Richardson, CG, BiCGStab and GMRES over DataFrames. One pass gives
-  all scalars of an iteration; each iterate is written to the shared folder.
+* ``lines.poisson`` and ``lines.polar_poisson``: transforms line by line, two or three shuffles
+  whatever the size.
+* ``krylov``: matrix-free Richardson, CG, BiCGStab and GMRES over DataFrames, with
+  preconditioners. One pass gives all scalars of an iteration; each iterate is written to
+  the shared folder. A method that doesn't reach its tolerance raises.
 * ``solve_blocks``: one NumPy solver per block of a field (one row group per block), for
-  multigrid, FFT and polar solves of blocks that fit a task.
+  multigrid and tensor operators on blocks that fit a task, which is checked.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.expr import Expr, const, var, where
 from fieldloom.plans.relation import Plan, raw
+from fieldloom.sources.tables import Trail, cut
 
 
 def _angle(fn: str, a: str, b: str, n: int) -> Expr:
@@ -37,8 +41,8 @@ def _transform(x: Plan, kept: str, old: str, new: str, n: int, sign: float) -> P
     return y.group([kept, new], re=("sum", "a"), im=("sum", "b"))
 
 
-def dft_poisson(field: Plan, f: str, n: int, h: float, spectral: bool = False) -> Plan:
-    """``phi`` of the periodic Poisson problem on an n x n grid; mode zero is dropped.
+def dft_poisson(field: Plan, f: str, n: int, h: float, spectral: bool = False, kappa: float = 0.0) -> Plan:
+    """``phi`` of (Laplacian - kappa) phi = f on a periodic n x n grid; without kappa mode zero is dropped.
 
     The symbol is that of the five-point operator, or the continuous one.
     """
@@ -48,9 +52,9 @@ def dft_poisson(field: Plan, f: str, n: int, h: float, spectral: bool = False) -
         def part(k: str) -> str:
             return f"pow(6.283185307179586 / {n * h!r} * (CASE WHEN {k} * 2 > {n} THEN {k} - {n} ELSE {k} END), 2)"
 
-        symbol = f"-({part('p')} + {part('q')})"
+        symbol = f"-({part('p')} + {part('q')}) - {kappa!r}"
     else:
-        symbol = f"(2 * cos(6.283185307179586 * p / {n}) + 2 * cos(6.283185307179586 * q / {n}) - 4) / {h * h!r}"
+        symbol = f"(2 * cos(6.283185307179586 * p / {n}) + 2 * cos(6.283185307179586 * q / {n}) - 4) / {h * h!r} - {kappa!r}"
     lam = raw(f"cast({symbol} as double)", f"({symbol})::DOUBLE")
     x = x.with_(lam=lam)
     small = (var("lam") < 1e-14) & (var("lam") > -1e-14)
@@ -249,12 +253,16 @@ def _bilinear(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def solve_blocks(df: DataFrame, c: str, solver: Callable[[np.ndarray], np.ndarray], out: str = "phi", key: str = "box_id") -> DataFrame:
     """``solver`` over each block's array of column ``c``; blocks are rows of one ``key``, cells ``i, j``.
 
-    A block is one group, and must fit a task; it is the unit of the layout.
+    A block is one group, and must fit a task; it is the unit of the layout. One of more than
+    ``BLOCK_CELLS`` cells is an error.
     """
+    from fieldloom.operators.multigrid import BLOCK_CELLS
 
     def run(cells):
         import pandas as pd
 
+        if len(cells) > BLOCK_CELLS:
+            raise ValueError(f"a block of {len(cells)} cells is above the {BLOCK_CELLS} that one task solves")
         i, j = cells["i"] - cells["i"].min(), cells["j"] - cells["j"].min()
         a = np.zeros((i.max() + 1, j.max() + 1))
         a[i, j] = cells[c]
@@ -279,101 +287,135 @@ class Solved:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Write the iterate to the session's checkpoint folder; the plan starts anew from it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldloom-"))
-    return df.checkpoint()
+    return cut(df)
 
 
 def _sums(df: DataFrame, **pairs: tuple[str, str]) -> dict[str, float]:
-    return df.agg(*[F.sum(F.col(a) * F.col(b)).alias(n) for n, (a, b) in pairs.items()]).first().asDict()
+    found = df.agg(*[F.sum(F.col(a) * F.col(b)).alias(n) for n, (a, b) in pairs.items()]).first().asDict()
+    return {n: x or 0.0 for n, x in found.items()}
 
 
-def _applied(df: DataFrame, op: Operator, c: str, out: str) -> DataFrame:
-    """``op(df, c)`` gives ``i, j`` and a column named ``c``; joined on as ``out``."""
+def _applied(df: DataFrame, op: Operator | None, c: str, out: str) -> DataFrame:
+    """``op(df, c)`` gives ``i, j`` and a column named ``c``; joined on as ``out``. None is the identity."""
+    if op is None:
+        return df.withColumn(out, F.col(c))
     done = op(df.select("i", "j", F.col(c).alias("x")), "x").select("i", "j", F.col("x").alias(out))
     return df.join(done, ["i", "j"])
 
 
-def conjugate_gradient(op: Operator, rhs: DataFrame, tolerance: float = 1e-8, max_iter: int = 200) -> Solved:
+def _end(what: str, at: DataFrame, k: int, norm: float, met: bool, strict: bool) -> Solved:
+    found = Solved(at.select("i", "j", "x"), k, norm)
+    if strict and not met:
+        from fieldloom.operators.multigrid import NotConvergedError
+
+        raise NotConvergedError(what, k, norm, found.field)
+    return found
+
+
+def conjugate_gradient(op: Operator, rhs: DataFrame, tolerance: float = 1e-8, max_iter: int = 200, precondition: Operator | None = None, strict: bool = True) -> Solved:
     """For symmetric positive operators; ``rhs`` has ``i, j, b``."""
-    at = _cut(rhs.select("i", "j", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("p")))
-    rr = _sums(at, rr=("r", "r"))["rr"] or 0.0
-    stop = tolerance * math.sqrt(rr)
+    trail = Trail()
+    at = rhs.select("i", "j", F.lit(0.0).alias("x"), F.col("b").alias("r"))
+    at = trail.cut(_applied(at, precondition, "r", "z").withColumn("p", F.col("z")))
+    d = _sums(at, rr=("r", "r"), rz=("r", "z"))
+    stop = tolerance * math.sqrt(d["rr"])
     for k in range(max_iter):
-        if math.sqrt(rr) <= stop or rr == 0:
-            return Solved(at.select("i", "j", "x"), k, math.sqrt(rr))
-        with_ap = _cut(_applied(at, op, "p", "ap"))
-        alpha = rr / _sums(with_ap, pap=("p", "ap"))["pap"]
+        if math.sqrt(d["rr"]) <= stop:
+            return _end("CG", at, k, math.sqrt(d["rr"]), True, strict)
+        with_ap = trail.cut(_applied(at, op, "p", "ap"))
+        pap = _sums(with_ap, pap=("p", "ap"))["pap"]
+        if pap <= 0:  # not positive definite, or p is lost to rounding
+            return _end("CG (a direction of no positive energy)", at, k, math.sqrt(d["rr"]), False, strict)
+        alpha = d["rz"] / pap
         x, r = F.col("x") + alpha * F.col("p"), F.col("r") - alpha * F.col("ap")
         moved = with_ap.select("i", "j", x.alias("x"), r.alias("r"), "p")
-        new = _sums(moved, rr=("r", "r"))["rr"]
-        at = _cut(moved.withColumn("p", F.col("r") + (new / rr) * F.col("p")))
-        rr = new
-    return Solved(at.select("i", "j", "x"), max_iter, math.sqrt(rr))
-
-
-def richardson(op: Operator, rhs: DataFrame, omega: float, tolerance: float = 1e-8, max_iter: int = 200) -> Solved:
-    """x += omega (b - A x)."""
-    at = _cut(rhs.select("i", "j", "b", F.lit(0.0).alias("x")))
+        moved = trail.cut(_applied(moved, precondition, "r", "z")) if precondition else _applied(moved, None, "r", "z")
+        new = _sums(moved, rr=("r", "r"), rz=("r", "z"))
+        at = trail.cut(moved.withColumn("p", F.col("z") + (new["rz"] / d["rz"] if d["rz"] else 0.0) * F.col("p")))
+        trail.keep(rhs.sparkSession)
+        d = new
+    return _end("CG", at, max_iter, math.sqrt(d["rr"]), math.sqrt(d["rr"]) <= stop, strict)
+
+
+def richardson(op: Operator, rhs: DataFrame, omega: float, tolerance: float = 1e-8, max_iter: int = 200, precondition: Operator | None = None, strict: bool = True) -> Solved:
+    """x += omega M (b - A x)."""
+    trail = Trail()
+    at = trail.cut(rhs.select("i", "j", "b", F.lit(0.0).alias("x")))
     first = norm = None
-    for k in range(max_iter):
+    for k in range(max_iter + 1):
         with_ax = _applied(at, op, "x", "ax").withColumn("r", F.col("b") - F.col("ax"))
-        at = _cut(with_ax.select("i", "j", "b", "x", "r"))
-        norm = math.sqrt(_sums(at, rr=("r", "r"))["rr"] or 0.0)
+        at = trail.cut(_applied(with_ax.select("i", "j", "b", "x", "r"), precondition, "r", "z"))
+        trail.keep(rhs.sparkSession)
+        norm = math.sqrt(_sums(at, rr=("r", "r"))["rr"])
         first = norm if first is None else first
-        if norm <= tolerance * first or norm == 0:
-            return Solved(at.select("i", "j", "x"), k, norm)
-        at = at.select("i", "j", "b", (F.col("x") + omega * F.col("r")).alias("x"))
-    return Solved(at.select("i", "j", "x"), max_iter, norm)
+        if norm <= tolerance * first or k == max_iter:
+            return _end("Richardson", at, k, norm, norm <= tolerance * first, strict)
+        at = at.select("i", "j", "b", (F.col("x") + omega * F.col("z")).alias("x"))
+    raise AssertionError
 
 
-def bicgstab(op: Operator, rhs: DataFrame, tolerance: float = 1e-8, max_iter: int = 200) -> Solved:
+def bicgstab(op: Operator, rhs: DataFrame, tolerance: float = 1e-8, max_iter: int = 200, precondition: Operator | None = None, strict: bool = True) -> Solved:
+    """For general operators; a breakdown starts anew from the last iterate."""
+    trail = Trail()
     b = F.col("b")
-    at = _cut(rhs.select("i", "j", F.lit(0.0).alias("x"), b.alias("r"), b.alias("s0"), b.alias("p")))
-    rho = rr = _sums(at, rr=("r", "r"))["rr"] or 0.0
+    at = trail.cut(rhs.select("i", "j", F.lit(0.0).alias("x"), b.alias("r"), b.alias("s0"), b.alias("p")))
+    rho = rr = _sums(at, rr=("r", "r"))["rr"]
     stop = tolerance * math.sqrt(rr)
     for k in range(max_iter):
-        if math.sqrt(rr) <= stop or rr == 0:
-            return Solved(at.select("i", "j", "x"), k, math.sqrt(rr))
-        one = _cut(_applied(at, op, "p", "v"))
-        alpha = rho / _sums(one, d=("s0", "v"))["d"]
-        two = _cut(_applied(one.withColumn("s", F.col("r") - alpha * F.col("v")), op, "s", "t"))
+        if math.sqrt(rr) <= stop:
+            return _end("BiCGStab", at, k, math.sqrt(rr), True, strict)
+        ready = trail.cut(_applied(at, precondition, "p", "y")) if precondition else _applied(at, None, "p", "y")
+        one = trail.cut(_applied(ready, op, "y", "v"))
+        d = _sums(one, d=("s0", "v"))["d"]
+        if d == 0:
+            at = trail.cut(at.select("i", "j", "x", "r", F.col("r").alias("s0"), F.col("r").alias("p")))
+            rho = rr
+            continue
+        alpha = rho / d
+        half = one.withColumn("s", F.col("r") - alpha * F.col("v"))
+        half = trail.cut(_applied(half, precondition, "s", "z")) if precondition else _applied(half, None, "s", "z")
+        two = trail.cut(_applied(half, op, "z", "t"))
         d = _sums(two, ts=("t", "s"), tt=("t", "t"))
         omega = d["ts"] / d["tt"] if d["tt"] else 0.0
-        x = F.col("x") + alpha * F.col("p") + omega * F.col("s")
+        x = F.col("x") + alpha * F.col("y") + omega * F.col("z")
         three = two.select("i", "j", x.alias("x"), (F.col("s") - omega * F.col("t")).alias("r"), "s0", "p", "v")
         d = _sums(three, rr=("r", "r"), rho=("s0", "r"))
-        beta = d["rho"] / rho * alpha / omega if omega and rho else 0.0
-        at = _cut(three.select("i", "j", "x", "r", "s0", (F.col("r") + beta * (F.col("p") - omega * F.col("v"))).alias("p")))
-        rho, rr = d["rho"], d["rr"]
-    return Solved(at.select("i", "j", "x"), max_iter, math.sqrt(rr))
-
-
-def gmres(op: Operator, rhs: DataFrame, restart: int = 30, tolerance: float = 1e-8, max_iter: int = 200) -> Solved:
-    """Restarted; the basis is columns of one DataFrame, so a step's products are one pass."""
-    x = _cut(rhs.select("i", "j", "b", F.lit(0.0).alias("x")))
+        if omega and rho and d["rho"]:
+            beta = d["rho"] / rho * alpha / omega
+            at = trail.cut(three.select("i", "j", "x", "r", "s0", (F.col("r") + beta * (F.col("p") - omega * F.col("v"))).alias("p")))
+            rho, rr = d["rho"], d["rr"]
+        else:
+            at = trail.cut(three.select("i", "j", "x", "r", F.col("r").alias("s0"), F.col("r").alias("p")))
+            rho = rr = d["rr"]
+        trail.keep(rhs.sparkSession)
+    return _end("BiCGStab", at, max_iter, math.sqrt(rr), math.sqrt(rr) <= stop, strict)
+
+
+def gmres(op: Operator, rhs: DataFrame, restart: int = 30, tolerance: float = 1e-8, max_iter: int = 200, precondition: Operator | None = None, strict: bool = True) -> Solved:
+    """Restarted, preconditioned from the right; the basis is columns of one DataFrame, so a
+    step's products are one pass."""
+    trail = Trail()
+    x = trail.cut(rhs.select("i", "j", "b", F.lit(0.0).alias("x")))
     first, done = None, 0
     while True:
-        at = _cut(_applied(x, op, "x", "ax").select("i", "j", "b", "x", (F.col("b") - F.col("ax")).alias("r")))
-        beta = math.sqrt(_sums(at, rr=("r", "r"))["rr"] or 0.0)
+        at = trail.cut(_applied(x, op, "x", "ax").select("i", "j", "b", "x", (F.col("b") - F.col("ax")).alias("r")))
+        beta = math.sqrt(_sums(at, rr=("r", "r"))["rr"])
         first = beta if first is None else first
-        if beta <= tolerance * first or beta == 0 or done >= max_iter:
-            return Solved(at.select("i", "j", "x"), done, beta)
+        if beta <= tolerance * first or done >= max_iter:
+            return _end("GMRES", at, done, beta, beta <= tolerance * first, strict)
         at = at.withColumn("v0", F.col("r") / beta)
         h = np.zeros((restart + 1, restart))
         m = 0
         for k in range(restart):
-            at = _cut(_applied(at, op, f"v{k}", "w"))
+            at = trail.cut(_applied(at, precondition, f"v{k}", f"z{k}")) if precondition else _applied(at, None, f"v{k}", f"z{k}")
+            at = trail.cut(_applied(at, op, f"z{k}", "w"))
             d = _sums(at, **{f"h{q}": ("w", f"v{q}") for q in range(k + 1)})
             w = F.col("w")
             for q in range(k + 1):
                 h[q, k] = d[f"h{q}"]
                 w = w - float(h[q, k]) * F.col(f"v{q}")
-            at = _cut(at.withColumn("w", w))
+            at = trail.cut(at.withColumn("w", w))
+            trail.keep(rhs.sparkSession)
             h[k + 1, k] = math.sqrt(_sums(at, ww=("w", "w"))["ww"])
             m, done = k + 1, done + 1
             e = np.zeros(m + 1)
@@ -385,7 +427,7 @@ def gmres(op: Operator, rhs: DataFrame, restart: int = 30, tolerance: float = 1e
             at = at.withColumn(f"v{m}", F.col("w") / float(h[k + 1, k])).drop("w")
         step = F.col("x")
         for q in range(m):
-            step = step + float(y[q]) * F.col(f"v{q}")
+            step = step + float(y[q]) * F.col(f"z{q}")
         x = at.select("i", "j", "b", step.alias("x"))
 
 

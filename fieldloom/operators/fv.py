@@ -65,7 +65,7 @@ def face_states(model, limiter: str, primitive: bool = False, floor: float | Non
 _READS = {"none": (0, 1), "minmod": (-1, 2), "vanleer": (-1, 2), "weno5": (-2, 3)}
 
 
-def _both_faces(field: Plan, names: list[str], shape, bc: Boundary, reads: tuple[int, int], flux: Callable, columns: list[str], aux: list[str], second: bool = False) -> Plan:
+def _both_faces(field: Plan, names: list[str], shape, bc: Boundary, reads: tuple[int, int], flux: Callable, columns: list[str], aux: list[str], second: bool = False, within: tuple[str, ...] = ()) -> Plan:
     """``f{axis}_{name}`` and ``g{axis}_{name}``, axis by axis, the one that the rows lie along first.
 
     ``flux(x, d, at)`` gives a plan with the columns ``_f_{name}`` of the upper (0) or lower
@@ -74,18 +74,18 @@ def _both_faces(field: Plan, names: list[str], shape, bc: Boundary, reads: tuple
     rules, kept = axis_rules(bc), derived_rules(bc)
     out = field
     for d in (1, 0) if field.along == "j" else (0, 1):
-        axis, wraps = AXES[d], rules[d] == "periodic"
+        axis, wraps = AXES[d], rules[d] in ("periodic", "none")
         lo, hi = reads
         ks = range(lo if wraps else lo - 1, hi + 1)
         near = [-1, 1] if second else [1]
-        moved = out.shift(columns, _moves(d, sorted({*ks, *near})), shape, bc)
+        moved = out.shift(columns, _moves(d, sorted({*ks, *near})), shape, bc, within)
         if aux:
-            moved = moved.shift(aux, _moves(d, [1] if wraps else [-1, 1]), shape, kept)
+            moved = moved.shift(aux, _moves(d, [1] if wraps else [-1, 1]), shape, kept, within)
         more = {f"d{axis}_{c}": var(_name(c, 1)) - var(c) * 2.0 + var(_name(c, -1)) for c in names} if second else {}
         keep = [*out.columns, *[f"f{axis}_{c}" for c in names]]
         if wraps:
             x = flux(moved.with_(**more) if more else moved, d, 0).rename(**{f"_f_{c}": f"f{axis}_{c}" for c in names})
-            x = x.select(*keep, *more).shift([f"f{axis}_{c}" for c in names], {"low": _near(d, -1)}, shape, bc)
+            x = x.select(*keep, *more).shift([f"f{axis}_{c}" for c in names], {"low": _near(d, -1)}, shape, bc, within)
             out = x.rename(**{f"f{axis}_{c}_low": f"g{axis}_{c}" for c in names})
         else:
             x = flux(moved.with_(**more) if more else moved, d, 0).rename(**{f"_f_{c}": f"f{axis}_{c}" for c in names})
@@ -107,6 +107,7 @@ def face_fluxes(
     ghosts: int = 3,
     second: bool = False,
     mask: str | None = None,
+    within: tuple[str, ...] = (),
 ) -> Plan:
     """``f{x|y}_{component}`` and ``g{x|y}_{component}``: the fluxes through each cell's upper and lower faces.
 
@@ -130,7 +131,7 @@ def face_fluxes(
             found = [where(open_, e, 0.0) for e in found]
         return x.with_(**{f"_f_{c}": e for c, e in zip(model.names, found)})
 
-    return _both_faces(field, model.names, shape, bc, _READS[limiter], flux, model.names, beside, second)
+    return _both_faces(field, model.names, shape, bc, _READS[limiter], flux, model.names, beside, second, within)
 
 
 def rhs(field: Plan, model, shape, dx: float, dy: float, source=None, aux: list[str] | None = None, bc: Boundary = "periodic", viscosity: float = 0.0, fluxes: Plan | None = None, prefix: str = "r_", volume: Expr | None = None, **scheme) -> Plan:

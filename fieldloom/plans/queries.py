@@ -374,6 +374,8 @@ def plans() -> dict[str, Plan]:
         "average_down_patch": amr.average_down(fine, ["u"]),
         "reflux_correction": _round(_reflux()),
         "morton_partition": _sfc(),
+        "amr_step": _round(_amr_step(0)),
+        "amr_step_fine": _round(_amr_step(1)),
         "ghosts_in_time": _round(grid.counts().select("i", "j", u=amr.in_time(var("u"), var("m"), 0.25))),
         # layouts
         "halo_fill": halo.ghosts(u, ["u"], 8, 4, 2),
@@ -497,20 +499,22 @@ def spectrum_4x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("i", "j", spectrum(matrix).alias("s")).select("i", "j", "s.*")
 
 
-def amr_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags, boxes, a fine level over them, two fine half steps, and the average put back."""
-    tagged = amr.grow(amr.tags(_u(16), amr.above("u", 250.0)), 1, Box.of(16, 16)).frame(spark, sf_dir)
-    found = amr.cluster({(r["i"], r["j"]) for r in tagged.limit(256).collect()})  # the grid has 256 cells
-    coarse = tm.euler(_u(16), lambda x: fv.rhs(x, WIND, (16, 16), 1 / 16, 1 / 16), ["u"], 0.01)
-    fine = amr.interpolate(_u(16), ["u"])
-    for _ in range(2):
-        fine = tm.euler(fine, lambda x: fv.rhs(x, WIND, (32, 32), 1 / 32, 1 / 32), ["u"], 0.005)
-    if not found:
-        return coarse.frame(spark, sf_dir)
-    patch = fine.join(amr.box_cells([b.refine(2) for b in found]).select("i", "j").distinct(), ["i", "j"], "semi")
-    down = amr.average_down(patch, ["u"]).rename(u="u_fine")
-    joined = coarse.join(down, ["i", "j"], "left")
-    return joined.select("i", "j", u=raw("coalesce(u_fine, u)")).frame(spark, sf_dir)
+def _two_levels():
+    """A coarse level of 16 x 16 and two touching boxes above it, one step of two half steps."""
+    from fieldloom.operators.hierarchy import Hierarchy, Level, Scheme
+
+    boxes = [Box(8, 8, 19, 23), Box(20, 12, 27, 19)]
+    scheme = Scheme(ph.Advection(1.0, -0.5), (1 / 16, 1 / 16), (16, 16), limiter="minmod")
+    fine = amr.box_cells(boxes).select("i", "j").join(amr.interpolate(_u(16), ["u"]), ["i", "j"])
+    fine = fine.with_(u=var("u") + raw("cast((i * 3 + j) % 5 as double)", "((i * 3 + j) % 5)::DOUBLE"))
+    return Hierarchy(scheme, [Level(_u(16)), Level(fine, boxes)])
+
+
+def _amr_step(level: int) -> Plan:
+    h = _two_levels()
+    h.sync()
+    h.step(0.01)
+    return h.levels[level].state
 
 
 def program_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,7 +554,6 @@ PYTHON = {
     "berger_rigoutsos": berger_rigoutsos,
     "newton_source": newton_source,
     "spectrum_4x4": spectrum_4x4,
-    "amr_step": amr_step,
     "program_step": program_step,
 }
 

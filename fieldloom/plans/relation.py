@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.expr import Expr, Var, wrap
 
-Boundary = Any  # "periodic", "foextrap", ("dirichlet", value), or Edges of the latter two
+Boundary = Any  # "periodic", "foextrap", ("dirichlet", value), Edges of the latter two, or "none" (null outside)
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def _side(bc: Boundary, by: int) -> Boundary:
 
 def derived_rules(bc: Boundary) -> tuple[Boundary, Boundary]:
     """The rules of auxiliary fields: periodic axes stay so, all other ends copy."""
-    return tuple("periodic" if b == "periodic" else "foextrap" for b in axis_rules(bc))
+    return tuple(b if b in ("periodic", "none") else "foextrap" for b in axis_rules(bc))
 
 
 @dataclass(frozen=True)
@@ -162,9 +162,10 @@ class Plan:
     def filter(self, test: Expr) -> Plan:
         return Filter(self, test)
 
-    def shift(self, columns: list[str], offsets: dict[str, tuple[int, int]], shape: tuple[int, int], bc: tuple[Boundary, Boundary] | Boundary = "periodic") -> Plan:
-        """New columns ``{column}_{suffix}``: the value at the cell moved by an offset."""
-        return Shift(self, columns, offsets, shape, axis_rules(bc))
+    def shift(self, columns: list[str], offsets: dict[str, tuple[int, int]], shape: tuple[int, int], bc: tuple[Boundary, Boundary] | Boundary = "periodic", within: tuple[str, ...] = ()) -> Plan:
+        """New columns ``{column}_{suffix}``: the value at the cell moved by an offset; ``within``: among
+        rows that agree in these columns only, whose cells may be any rectangles (rule "none")."""
+        return Shift(self, columns, offsets, shape, axis_rules(bc), within)
 
     def join(self, other: Plan, on: list[str], how: str = "inner") -> Plan:
         return Join(self, other, on, how)
@@ -247,6 +248,28 @@ class Rows(Plan):
         return lines
 
 
+class BoxCells(Plan):
+    """``box_id, i, j`` of all cells of some boxes, each grown by ``depth``, and ``own``: 1 inside the box
+    itself, 0 in its ghosts. A box is one literal row, spread over its cells in parallel."""
+
+    def __init__(self, found: list, depth: int = 0):
+        self.found, self.depth, self.columns = list(found), depth, ["box_id", "i", "j", "own"]
+
+    def _frame(self, at):
+        rows = [(k, b.i0, b.j0, b.i1, b.j1) for k, b in enumerate(self.found)]
+        df = at.spark.createDataFrame(rows, "box_id int, i0 int, j0 int, i1 int, j1 int")
+        d = self.depth
+        df = df.withColumn("i", F.explode(F.expr(f"sequence(i0 - {d}, i1 + {d})"))).withColumn("j", F.explode(F.expr(f"sequence(j0 - {d}, j1 + {d})")))
+        return df.select("box_id", "i", "j", F.expr("if(i >= i0 AND i <= i1 AND j >= j0 AND j <= j1, 1D, 0D)").alias("own"))
+
+    def _sql(self, at):
+        d = self.depth
+        rows = " UNION ALL ".join(f"SELECT {k} AS box_id, {b.i0} AS i0, {b.j0} AS j0, {b.i1} AS i1, {b.j1} AS j1" for k, b in enumerate(self.found))
+        x = f"SELECT *, unnest(range(i0 - {d}, i1 + {d + 1})) AS i FROM ({rows})"
+        y = f"SELECT *, unnest(range(j0 - {d}, j1 + {d + 1})) AS j FROM ({x})"
+        return f"SELECT box_id::INTEGER AS box_id, i::INTEGER AS i, j::INTEGER AS j, (CASE WHEN i >= i0 AND i <= i1 AND j >= j0 AND j <= j1 THEN 1 ELSE 0 END)::DOUBLE AS own FROM ({y})"
+
+
 #: Expanded trees up to this size stay in one projection; smaller shared parts are repeated.
 ONE_PROJECTION, SHARED_SIZE = 150, 4
 
@@ -331,14 +354,16 @@ class Filter(Plan):
         return f"SELECT * FROM {at.name(self.child)} WHERE {self.test.sql()}"
 
 
-def _moved(column: str, by: int, axis: str, n: int, bc: Boundary) -> Column:
+def _moved(column: str, by: int, axis: str, n: int, bc: Boundary, within: tuple[str, ...] = ()) -> Column:
     """The column's value ``by`` cells further along an axis."""
     other = "j" if axis == "i" else "i"
-    over = W.partitionBy(other).orderBy(axis)
+    over = W.partitionBy(*within, other).orderBy(axis)
     if by == 0:
         return F.col(column)
     inside = F.lead(column, by).over(over) if by > 0 else F.lag(column, -by).over(over)
     bc = _side(bc, by)
+    if bc == "none":
+        return inside
     if bc == "periodic":
         return F.coalesce(inside, F.lag(column, n - by).over(over) if by > 0 else F.lead(column, n + by).over(over))
     if bc == "foextrap":
@@ -357,8 +382,10 @@ def _moved(column: str, by: int, axis: str, n: int, bc: Boundary) -> Column:
 
 
 class Shift(Plan):
-    def __init__(self, child, columns, offsets, shape, bc):
-        self.child, self.cols, self.offsets, self.shape, self.bc = child, columns, offsets, shape, bc
+    def __init__(self, child, columns, offsets, shape, bc, within=()):
+        self.child, self.cols, self.offsets, self.shape, self.bc, self.within = child, columns, offsets, shape, bc, tuple(within)
+        if self.within and bc != ("none", "none"):
+            raise ValueError("rows within groups have no edges that a rule could fill")
         self.columns = child.columns + [f"{c}_{s}" for s in offsets for c in columns]
         moves = list(offsets.values())
         self.diagonal = any(dx and dy for dx, dy in moves)
@@ -372,12 +399,12 @@ class Shift(Plan):
         n, rules = dict(zip("ij", self.shape)), dict(zip("ij", self.bc))
         if self.diagonal:
             x_moves = sorted({dx for dx, _ in self.offsets.values() if dx})
-            df = df.withColumns({f"_{c}_x{k}": _moved(c, k, "i", n["i"], rules["i"]) for k in x_moves for c in self.cols})
-            out = {f"{c}_{s}": _moved(f"_{c}_x{dx}" if dx else c, dy, "j", n["j"], rules["j"]) for s, (dx, dy) in self.offsets.items() for c in self.cols}
+            df = df.withColumns({f"_{c}_x{k}": _moved(c, k, "i", n["i"], rules["i"], self.within) for k in x_moves for c in self.cols})
+            out = {f"{c}_{s}": _moved(f"_{c}_x{dx}" if dx else c, dy, "j", n["j"], rules["j"], self.within) for s, (dx, dy) in self.offsets.items() for c in self.cols}
             return df.withColumns(out).select(*self.columns)
         for axis in self.order:
             by = {s: m["ij".index(axis)] for s, m in self.offsets.items()}
-            df = df.withColumns({f"{c}_{s}": _moved(c, k, axis, n[axis], rules[axis]) for s, k in by.items() if k for c in self.cols})
+            df = df.withColumns({f"{c}_{s}": _moved(c, k, axis, n[axis], rules[axis], self.within) for s, k in by.items() if k for c in self.cols})
         still = {f"{c}_{s}": F.col(c) for s, m in self.offsets.items() if m == (0, 0) for c in self.cols}
         return (df.withColumns(still) if still else df).select(*self.columns)
 
@@ -388,6 +415,8 @@ class Shift(Plan):
         def index(axis: str, by_: int, n: int, bc: Boundary) -> str:
             x = f"c.{axis} + ({by_})"
             bc = _side(bc, by_)
+            if bc == "none":
+                return x
             if bc == "periodic":
                 return f"((({x}) % {n}) + {n}) % {n}"
             if bc == "foextrap":
@@ -395,13 +424,15 @@ class Shift(Plan):
             return f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {n} THEN {2 * n - 1} - ({x}) ELSE {x} END"
 
         joins, out = [], [f"c.{c}" for c in self.child.columns]
+        kind = "LEFT JOIN" if "none" in (bx, by) else "JOIN"
+        same = "".join(f" AND s{{k}}.{w} = c.{w}" for w in self.within)
         for k, (suffix, (dx, dy)) in enumerate(self.offsets.items()):
-            joins.append(f"JOIN {t} s{k} ON s{k}.i = {index('i', dx, nx, bx)} AND s{k}.j = {index('j', dy, ny, by)}")
+            joins.append(f"{kind} {t} s{k} ON s{k}.i = {index('i', dx, nx, bx)} AND s{k}.j = {index('j', dy, ny, by)}" + same.format(k=k))
             for c in self.cols:
                 value = f"s{k}.{c}"
                 for axis, by_, n, bc in (("i", dx, nx, bx), ("j", dy, ny, by)):
                     bc = _side(bc, by_)
-                    if bc not in ("periodic", "foextrap") and by_:
+                    if bc not in ("periodic", "foextrap", "none") and by_:
                         value = f"CASE WHEN c.{axis} + ({by_}) < 0 OR c.{axis} + ({by_}) >= {n} THEN {2.0 * bc[1]!r}::DOUBLE - {value} ELSE {value} END"
                 out.append(f"{value} AS {c}_{suffix}")
         return f"SELECT {', '.join(out)} FROM {t} c {' '.join(joins)}"
