@@ -57,8 +57,9 @@ def solve_dense(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def spectrum(a: Column) -> Column:
-    """``max_im, lmin, lmax, all_real`` of a square matrix per row."""
+def spectrum(a: Column, im_tol: float = 1e-5) -> Column:
+    """``max_im, lmin, lmax, all_real`` of a square matrix per row; imaginary parts up to ``im_tol`` times
+    one and the largest size count as none."""
 
     @F.pandas_udf("max_im double, lmin double, lmax double, all_real boolean")
     def run(ms):
@@ -68,7 +69,7 @@ def spectrum(a: Column) -> Column:
             return pd.DataFrame({"max_im": [], "lmin": [], "lmax": [], "all_real": []})
         values = np.linalg.eigvals(_matrices(ms))
         im = np.abs(values.imag).max(axis=1)
-        return pd.DataFrame({"max_im": im, "lmin": values.real.min(axis=1), "lmax": values.real.max(axis=1), "all_real": im <= 1e-12 * (1 + np.abs(values).max(axis=1))})
+        return pd.DataFrame({"max_im": im, "lmin": values.real.min(axis=1), "lmax": values.real.max(axis=1), "all_real": im <= im_tol * (1 + np.abs(values).max(axis=1))})
 
     return run(a)
 

@@ -1,13 +1,12 @@
 """Field problems as declared things: an equation, a solver, and how often to solve.
 
-``-div(eps grad phi) + kappa phi = f`` and its special cases, each solved per box by one of
-the NumPy solvers, or over the whole grid by a Krylov method. Which pairs fit is checked
-before anything runs.
+``div(eps grad phi) - kappa phi = f`` and its special cases: by transforms over lines or by a
+Krylov method on grids of any size, or by multigrid in one task on a grid whose size is
+checked. Which pairs fit is checked before anything runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.expr import Expr, const, total, var
-from fieldloom.operators import elliptic
+from fieldloom.operators import elliptic, lines
+from fieldloom.operators.multigrid import BLOCK_CELLS, Stencil, VCycle
 from fieldloom.operators.stencil import gradient
 from fieldloom.plans.relation import Given, Plan
 from fieldloom.streaming.schedule import Cache, Schedule
@@ -80,8 +80,6 @@ class Solver:
         kinds = {type(t) for t in p.terms}
         if self.kind == "fft" and (kinds != {Laplacian} or p.bc != "periodic"):
             return "the transform needs constant coefficients and a periodic grid"
-        if self.kind == "mg" and (Anisotropic in kinds or p.bc != "periodic"):
-            return "this multigrid is for constant coefficients on a periodic grid"
         if self.kind in ("cg", "bicgstab", "gmres", "richardson") and "max_iter" not in self.options:
             return "iterative solvers need max_iter"
         return ""
@@ -110,17 +108,37 @@ def solve(p: FieldProblem, solver: Solver, cells: DataFrame, shape: tuple[int, i
     if why := solver.available(p):
         raise ValueError(why)
     f = cells.select("i", "j", p.rhs.column().alias("f"), *[c for t in p.terms if isinstance(t, Anisotropic) for c in (t.eps_x, t.eps_y)])
-    if solver.kind in ("fft", "mg"):
-        kappa, options = _kappa(p), solver.options
-        if solver.kind == "fft":
-            kernel: Callable[[np.ndarray], np.ndarray] = lambda a: elliptic.fft_poisson(a, h, options["spectral"])
-        else:
-            kernel = lambda a: elliptic.Multigrid(kappa=kappa, **options).solve(a, h)[0]
-        whole = f.withColumn("box_id", F.lit(0))
-        return elliptic.solve_blocks(whole, "f", kernel, out=p.name).drop("box_id")
+    kappa, options = _kappa(p), solver.options
+    if solver.kind == "fft":
+        return lines.poisson(f, "f", shape, (h, h), options["spectral"], out=p.name)
+    if solver.kind == "mg":
+        if shape[0] * shape[1] > BLOCK_CELLS:
+            raise ValueError(f"multigrid takes grids of at most {BLOCK_CELLS} cells, in one task; take the transform or a Krylov method")
+        return _by_multigrid(p, VCycle(**options), f, shape, h, kappa)
     return elliptic.KRYLOV[solver.kind](_operator(p, f, shape, h), f.withColumn("b", -F.col("f")), **solver.options).field.withColumnRenamed("x", p.name)
 
 
+def _by_multigrid(p: FieldProblem, cycle: VCycle, f: DataFrame, shape: tuple[int, int], h: float, kappa: float) -> DataFrame:
+    """The grid as one block; its size was checked."""
+    aniso = next((t for t in p.terms if isinstance(t, Anisotropic)), None)
+    names = ["f", *([aniso.eps_x, aniso.eps_y] if aniso else [])]
+    bc, out = p.bc, p.name
+
+    def run(cells):
+        import pandas as pd
+
+        arrays = []
+        for c in names:
+            a = np.zeros(shape)
+            a[cells["i"], cells["j"]] = cells[c]
+            arrays.append(a)
+        eps = {"eps_x": arrays[1], "eps_y": arrays[2]} if aniso else {}
+        u = cycle.solve(Stencil(shape, (h, h), bc, kappa=kappa, **eps), arrays[0])
+        return pd.DataFrame({"i": cells["i"], "j": cells["j"], out: u[cells["i"], cells["j"]]})
+
+    return f.groupBy(F.lit(0).alias("all")).applyInPandas(lambda cells: run(cells), f"i int, j int, {out} double")
+
+
 def _operator(p: FieldProblem, f: DataFrame, shape: tuple[int, int], h: float) -> elliptic.Operator:
     """Minus the left-hand side, which is positive definite."""
     from fieldloom.operators.stencil import coefficient_operator

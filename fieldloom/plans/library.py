@@ -76,6 +76,7 @@ class Library:
     couplings: dict[str, Callable[[dict[str, dict[str, Expr]]], dict[str, dict[str, Expr]]]] = field(default_factory=dict)
     aux: Plan | None = None  # static columns beside the solved ones
     cut_states: bool = True
+    frozen: Any = field(default=None, repr=False)
 
     def machine(self, states: dict[str, Plan], **more: Any) -> Machine:
         """A machine over states whose blocks are found by their components."""
@@ -283,9 +284,14 @@ class Library:
         return stencil.coefficient_operator(y, "x", self.shape, *self.h, bc=derived_rules(self._rule()), eps_x="eps_x", eps_y="eps_y", cross=("a_xy", "a_yx"), out="lap").select("i", "j", x=var("lap"))
 
     def do_rhs_jacvec(self, state: Plan, direction: Plan, fields: Plan | None = None, eps: float = 1e-6) -> Plan:
+        """The rate at the state itself is computed once for all products."""
+        if self.frozen is None or self.frozen[0] is not state or self.frozen[1] is not fields:
+            kept = self.cut(state)
+            self.frozen = (state, fields, kept, self.cut(self.do_rhs(kept, fields)))
+        state, rate = self.frozen[2:]
         moved = self.do_linear_combine([(1.0, state), (eps, direction)])
         moved = moved.select("i", "j", **dict(zip(_columns(state), map(var, _columns(moved)))))
-        return self.do_linear_combine([(1.0 / eps, self.do_rhs(moved, fields)), (-1.0 / eps, self.do_rhs(state, fields))]).select("i", "j", **{c: var(c) for c in _columns(state)})
+        return self.do_linear_combine([(1.0 / eps, self.do_rhs(moved, fields)), (-1.0 / eps, rate)]).select("i", "j", **{c: var(c) for c in _columns(state)})
 
     def do_solve_linear(self, operator: Callable[[Plan], Plan], rhs: Plan, method: str, tolerance: float, max_iter: int, **more: Any) -> Plan:
         """``rhs`` of one component; a solve that doesn't reach its tolerance raises."""

@@ -12,10 +12,10 @@ from fieldloom.functions import moments as mo
 from fieldloom.functions import physics as ph
 from fieldloom.functions.expr import Expr, abs_, const, diff, floor, maximum, minimum, safe_div, sign, smooth_floor, sqrt, var, where
 from fieldloom.functions.linalg import eig2, lorentz_inverse, solve2
-from fieldloom.operators import amr, cells, coupling, elliptic, fv, grid, halo, problems, reduce, stencil
+from fieldloom.operators import amr, cells, coupling, elliptic, fv, grid, halo, lines, multigrid, problems, reduce, stencil
 from fieldloom.operators.grid import Box, Geometry, PolarGeometry
 from fieldloom.plans import time as tm
-from fieldloom.plans.relation import Edges, Plan, raw, rounded
+from fieldloom.plans.relation import Edges, Given, Plan, raw, rounded
 
 N = 32
 SHAPE = (N, N)
@@ -399,72 +399,145 @@ def plans() -> dict[str, Plan]:
     return out
 
 
-def _solver(spark: SparkSession, sf_dir: str, n: int, solve) -> DataFrame:
-    """A solver per box, over four boxes of a grid."""
-    cells_ = grid.density(2 * n).frame(spark, sf_dir)
-    key = F.expr(f"cast((i div {n}) * 2 + (j div {n}) as int)")
-    boxes = cells_.select(key.alias("box_id"), F.expr(f"cast(i % {n} as int)").alias("i"), F.expr(f"cast(j % {n} as int)").alias("j"), "u")
-    return elliptic.solve_blocks(boxes, "u", solve)
+def _four_boxes(spark: SparkSession, sf_dir: str, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One solve over a 64 x 64 grid that four boxes of 32 x 32 make up."""
+    phi = solve(grid.density(2 * N).frame(spark, sf_dir))
+    return _round(halo.with_boxes(Given(phi), N, 2).select("box_id", "i", "j", "phi"), 5).frame(spark, sf_dir)
 
 
 def mg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multigrid in each of four boxes."""
-    return _solver(spark, sf_dir, 32, lambda f: elliptic.Multigrid().solve(f - f.mean(), 1 / 32)[0])
+    """The periodic Poisson problem by multigrid."""
+    p = problems.PoissonProblem(var("u"))
+    return _four_boxes(spark, sf_dir, lambda x: problems.solve(p, problems.GeometricMG(rel=1e-12), x, (2 * N, 2 * N), 1 / (2 * N)))
 
 
 def fft_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by FFT."""
-    return _solver(spark, sf_dir, 32, lambda f: elliptic.fft_poisson(f - f.mean(), 1 / 32))
+    """The same by transforms over lines."""
+    p = problems.PoissonProblem(var("u"))
+    return _four_boxes(spark, sf_dir, lambda x: problems.solve(p, problems.FFT(), x, (2 * N, 2 * N), 1 / (2 * N)))
+
+
+def _four_boxes_sql() -> str:
+    phi = elliptic.dft_poisson(grid.density(2 * N), "u", 2 * N, 1 / (2 * N))
+    return _round(halo.with_boxes(phi, N, 2).select("box_id", "i", "j", "phi"), 5).sql()
 
 
 def polar_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _solver(spark, sf_dir, 32, lambda f: elliptic.polar_poisson(f - f.mean(), 0.3, 1.0))
+    """A ring, zero at both ends."""
+    phi = lines.polar_poisson(grid.density().frame(spark, sf_dir), "u", SHAPE, 0.3, 1.0)
+    return _round(Given(phi)).frame(spark, sf_dir)
+
+
+#: A transform of the angle by sums, a forward and a backward recursion along the radius, and back.
+POLAR_SQL = """
+WITH RECURSIVE cells AS (SELECT i::INTEGER AS i, j::INTEGER AS j, coalesce(n, 0)::DOUBLE AS f FROM range(32) a(i), range(32) b(j)
+  LEFT JOIN (SELECT l_orderkey % 32 AS p, l_partkey % 32 AS q, count(*) AS n FROM lineitem GROUP BY ALL) ON p = i AND q = j),
+hat AS (SELECT i, m, sum(f * cos(2 * pi() * ((j * m) % 32) / 32)) AS re, -sum(f * sin(2 * pi() * ((j * m) % 32) / 32)) AS im FROM cells, range(32) c(m) GROUP BY i, m),
+w AS (SELECT i, m, re, im, (r - dr / 2) / (r * dr * dr) AS lo, (r + dr / 2) / (r * dr * dr) AS hi, (CASE WHEN 2 * m > 32 THEN m - 32 ELSE m END) ** 2 / (r * r) AS k
+  FROM (SELECT *, 0.7::DOUBLE / 32 AS dr, 0.3::DOUBLE + (i + 0.5) * 0.7 / 32 AS r FROM hat)),
+sys AS (SELECT i, m, re, im, lo, hi, -(lo + hi) - k - CASE WHEN i = 0 THEN lo WHEN i = 31 THEN hi ELSE 0 END AS d FROM w),
+down(i, m, c, x, y) AS (SELECT i, m, hi / d, re / d, im / d FROM sys WHERE i = 0
+  UNION ALL SELECT s.i, s.m, s.hi / (s.d - s.lo * p.c), (s.re - s.lo * p.x) / (s.d - s.lo * p.c), (s.im - s.lo * p.y) / (s.d - s.lo * p.c) FROM down p JOIN sys s ON s.i = p.i + 1 AND s.m = p.m),
+up(i, m, x, y) AS (SELECT i, m, x, y FROM down WHERE i = 31
+  UNION ALL SELECT q.i, q.m, q.x - q.c * p.x, q.y - q.c * p.y FROM up p JOIN down q ON q.i = p.i - 1 AND q.m = p.m)
+SELECT i::INTEGER AS i, j::INTEGER AS j, round(sum(x * cos(2 * pi() * ((j * m) % 32) / 32) - y * sin(2 * pi() * ((j * m) % 32) / 32)) / 32, 6) + 0.0 AS phi
+FROM up, range(32) c(j) GROUP BY i, j
+"""
 
 
 def fac_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-level composite solve in each of four boxes; the coarse level."""
+    """Two-level composite solve in each of four boxes of 32 x 32; the coarse level."""
 
     def solve(f):
         fine = f[8:24, 8:24].repeat(2, 0).repeat(2, 1)
         return elliptic.fac_two_level(f, fine, (8, 8), 1 / 32)[0]
 
-    return _solver(spark, sf_dir, 32, solve)
+    cells_ = grid.density(2 * N).frame(spark, sf_dir)
+    key = F.expr(f"cast((i div {N}) * 2 + (j div {N}) as int)")
+    boxes = cells_.select(key.alias("box_id"), F.expr(f"cast(i % {N} as int)").alias("i"), F.expr(f"cast(j % {N} as int)").alias("j"), "u")
+    return elliptic.solve_blocks(boxes, "u", solve)
+
+
+_SHARES = {"n_a": -1.0, "n_b": 1.0, "n_c": 0.5}
 
 
 def solve_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The potential of three species, and its gradient."""
     x = _blocks()
-    shares = {"a": (x, var("n_a") * -1.0), "b": (x, var("n_b") * 1.0), "c": (x, var("n_c") * 0.5)}
-    mean_free = problems.PoissonProblem(problems.RHS)
-    return problems.FieldSolve(mean_free, problems.GeometricMG(), SHAPE, H).aux(shares, spark, sf_dir)
+    shares = {c[-1]: (x, var(c) * q) for c, q in _SHARES.items()}
+    solve = problems.FieldSolve(problems.PoissonProblem(problems.RHS), problems.FFT(), SHAPE, H)
+    return _round(Given(solve.aux(shares, spark, sf_dir))).frame(spark, sf_dir)
+
+
+def _solve_fields_sql() -> str:
+    charge = _blocks().select("i", "j", f=var("n_a") * -1.0 + var("n_b") + var("n_c") * 0.5)
+    return _round(stencil.gradient(elliptic.dft_poisson(charge, "f", N, H), "phi", SHAPE, H, H, divide=True)).sql()
 
 
 def screened_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laplacian(phi) - 4 phi = u by CG, preconditioned by two levels."""
     cells_ = grid.density(16).frame(spark, sf_dir)
     p = problems.ScreenedPoissonProblem(var("u"), 4.0)
-    return problems.solve(p, problems.Krylov("cg", max_iter=30, tolerance=1e-4), cells_, (16, 16), 1.0)
+    more = {"precondition": multigrid.two_level((16, 16), (1.0, 1.0), kappa=4.0, tile=8)}
+    phi = problems.solve(p, problems.Krylov("bicgstab", max_iter=30, tolerance=1e-12, **more), cells_, (16, 16), 1.0)
+    return _round(Given(phi), 5).frame(spark, sf_dir)
+
+
+def _newton(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
+    from fieldloom.functions.linalg import newton_source as solve
+
+    x = _gas().frame(spark, sf_dir)
+    done = solve(F.array("rho", "mx"), lambda u: -0.01 * u * abs(u), 2, 0.1, steps=steps)
+    return x.select("i", "j", done.alias("s")).select("i", "j", F.col("s.state")[0].alias("rho"), F.col("s.state")[1].alias("mx"), "s.residual", "s.ok")
+
+
+def newton_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backward Euler of a nonlinear decay, per cell."""
+    return _round(Given(_newton(spark, sf_dir, 6).drop("ok"))).frame(spark, sf_dir)
 
 
 def newton_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Worst residual, failed cells, and the first cell with the worst residual."""
-    x = newton_source(spark, sf_dir)
-    worst = F.max(F.struct("residual", (-(F.col("j") * N + F.col("i"))).alias("place")))
+    """After a single Newton step: the worst residual, failed cells, and the first cell with the worst residual."""
+    x = _newton(spark, sf_dir, 1)
+    worst = F.max(F.struct(F.round("residual", 6).alias("residual"), (-(F.col("j") * N + F.col("i"))).alias("place")))
     out = x.agg(worst.alias("w"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("failed"))
-    return out.select(F.col("w.residual").alias("residual"), (-F.col("w.place")).alias("place"), "failed")
+    return out.select(F.col("w.residual").alias("residual"), (-F.col("w.place")).cast("long").alias("place"), F.col("failed").cast("long").alias("failed"))
+
+
+_GAS_SQL = """
+cells AS (SELECT i::INTEGER AS i, j::INTEGER AS j, 1 + coalesce(n, 0)::DOUBLE AS rho, coalesce(m, 0)::DOUBLE AS mx, coalesce(f, 0)::DOUBLE AS my FROM range(32) a(i), range(32) b(j)
+  LEFT JOIN (SELECT l_orderkey % 32 AS p, l_partkey % 32 AS q, count(*) AS n, sum(l_linenumber) AS m, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS f FROM lineitem GROUP BY ALL) ON p = i AND q = j)"""
+#: The root of x + 0.001 x |x| = u; and one Newton step towards it, with what is left.
+NEWTON_SQL = f"""WITH {_GAS_SQL}
+SELECT i, j, round(sign(rho) * (sqrt(1 + 0.004::DOUBLE * abs(rho)) - 1) / 0.002::DOUBLE, 6) + 0.0 AS rho,
+  round(sign(mx) * (sqrt(1 + 0.004::DOUBLE * abs(mx)) - 1) / 0.002::DOUBLE, 6) + 0.0 AS mx, 0.0::DOUBLE AS residual FROM cells"""
+NEWTON_REPORT_SQL = f"""WITH {_GAS_SQL},
+step AS (SELECT i, j, rho, mx, rho - 0.001::DOUBLE * rho * abs(rho) / (1 + 0.002::DOUBLE * abs(rho)) AS x, mx - 0.001::DOUBLE * mx * abs(mx) / (1 + 0.002::DOUBLE * abs(mx)) AS y FROM cells),
+rest AS (SELECT j * 32 + i AS place, round(greatest(abs(x - rho + 0.001::DOUBLE * x * abs(x)), abs(y - mx + 0.001::DOUBLE * y * abs(y))), 6) AS residual FROM step)
+SELECT max(residual) AS residual, (SELECT min(place) FROM rest WHERE residual = (SELECT max(residual) FROM rest))::BIGINT AS place, 0::BIGINT AS failed FROM rest"""
+SPECTRUM_SQL = f"""WITH {_GAS_SQL},
+gas AS (SELECT i, j, mx / rho AS v, sqrt(1.4::DOUBLE * 0.4 * (10 * rho + mx * mx + my * my - (mx * mx + my * my) / rho / 2) / rho) AS c FROM cells)
+SELECT i, j, 0.0::DOUBLE AS max_im, round(v - c, 4) + 0.0 AS lmin, round(v + c, 4) + 0.0 AS lmax, true AS all_real FROM gas"""
 
 
 def _krylov(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rhs = grid.density(16).select("i", "j", b=var("u") / 100.0).frame(spark, sf_dir)
         op = elliptic.periodic_operator((16, 16), 1.0, kappa=4.0)
-        more = {"omega": 0.1} if name == "richardson" else {}
-        return elliptic.KRYLOV[name](op, rhs, tolerance=1e-4, max_iter=30, **more).field
+        more = {"omega": 0.125} if name == "richardson" else {}
+        return _round(Given(elliptic.KRYLOV[name](op, rhs, tolerance=1e-10, max_iter=60, **more).field), 5).frame(spark, sf_dir)
 
     run.__name__ = f"{name}_solve"
     run.__doc__ = f"(4 - Laplacian) x = b by {name}."
     return run
 
 
+def _screened_sql(rhs: Expr, name: str, digits: int, kappa: float = 4.0, h: float = 1.0) -> str:
+    """Laplacian(x) - kappa x = rhs over 16 x 16 cells, by sums."""
+    phi = elliptic.dft_poisson(grid.density(16).select("i", "j", f=rhs), "f", 16, h, kappa=kappa)
+    return _round(phi.rename(phi=name), digits).sql()
+
+
 def berger_rigoutsos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes around the tags, region by region (one group per 16 x 16 cells)."""
     tagged = amr.grow(_tags(), 1, Box.of(N, N)).frame(spark, sf_dir).withColumn("region", F.expr("cast((i div 16) * 2 + (j div 16) as int)"))
@@ -479,15 +552,6 @@ def berger_rigoutsos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.groupBy("region").applyInPandas(run, "region int, i0 int, j0 int, i1 int, j1 int")
 
 
-def newton_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Backward Euler of a nonlinear decay, per cell."""
-    from fieldloom.functions.linalg import newton_source as solve
-
-    x = _gas().frame(spark, sf_dir)
-    done = solve(F.array("rho", "mx"), lambda u: -0.01 * u * abs(u), 2, 0.1)
-    return x.select("i", "j", done.alias("s")).select("i", "j", F.col("s.state")[0].alias("rho"), F.col("s.state")[1].alias("mx"), "s.residual", "s.ok")
-
-
 def spectrum_4x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extreme eigenvalues of the gas flux's Jacobian, built by symbolic derivatives."""
     from fieldloom.functions.expr import jacobian
@@ -496,7 +560,8 @@ def spectrum_4x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jacobian(GAS.flux([var(c) for c in GAS.names], {}, 0), GAS.names)
     x = _gas().frame(spark, sf_dir)
     matrix = F.array(*[F.array(*[e.column() for e in r]) for r in rows])
-    return x.select("i", "j", spectrum(matrix).alias("s")).select("i", "j", "s.*")
+    found = x.select("i", "j", spectrum(matrix).alias("s")).select("i", "j", "s.*")
+    return found.select("i", "j", *[(F.round(c, 4) + 0.0).alias(c) for c in ("max_im", "lmin", "lmax")], "all_real")
 
 
 def _two_levels():
@@ -542,7 +607,57 @@ def program_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(done).frame(spark, sf_dir)
 
 
+def program_matrix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(2 - Laplacian) x = u by a recorded program whose operator is a body of it."""
+    from fieldloom.plans.library import Block, Library
+    from fieldloom.plans.program import Program, optimize
+
+    p = Program()
+    u, two = p.state("u"), p.scalar_op("add", 1.0, 1.0)
+    body = p.inside()
+    x = body.apply_in()
+    body.apply_out(body.linear_combine([(two, x), (-1.0, body.laplacian(x))]))
+    p.commit("u", p.solve_linear(p.matrix_free_operator(body), u, "cg", tolerance=1e-11, max_iter=100))
+    lib = Library(spark, (16, 16), (1.0, 1.0), {"u": Block(WIND)}, sf_dir)
+    return _round(lib.machine({"u": _u(16)}).execute(optimize(p))["u"], 5).frame(spark, sf_dir)
+
+
+def _schur_state(n: int = 8) -> Plan:
+    return grid.counts(n).select("i", "j", rho=const(2.0), mx=var("m") / 100.0, my=var("f") / 100.0)
+
+
+def program_schur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The condensed source stage as a program, for a constant density and field."""
+    from fieldloom.plans.library import Block, Library
+    from fieldloom.plans.macros import condensed_schur
+    from fieldloom.plans.program import Program, optimize
+
+    p = Program()
+    condensed_schur(p, "gas", 0.4, 3.0, theta=0.5, tolerance=1e-12)
+    aux = grid.counts(8).select("i", "j", b_z=const(1.5))
+    lib = Library(spark, (8, 8), (1.0, 1.0), {"gas": Block(COLD)}, sf_dir, aux=aux)
+    out = lib.machine({"gas": _schur_state(), "phi": grid.counts(8).select("i", "j", x=const(0.0))}).execute(optimize(p))
+    return _round(out["gas"].select("i", "j", "rho", "mx", "my"), 5).frame(spark, sf_dir)
+
+
+def _schur_sql() -> str:
+    """With constant coefficients the cross terms cancel: eps Laplacian(phi) = g div(B^-1 m)."""
+    th, alpha, w = 0.2, 3.0, 0.3
+    d = 1 + w * w
+    x = _schur_state().with_(fx=(var("mx") + var("my") * w) / d, fy=(var("my") - var("mx") * w) / d)
+    x = stencil.divergence(x, "fx", "fy", (8, 8), 1.0, 1.0)
+    eps = 1 + th * th * alpha * 2.0 / d
+    phi = elliptic.dft_poisson(x.select("i", "j", f=var("div") * (th * alpha / eps)), "f", 8, 1.0)
+    g = stencil.gradient(phi, "phi", (8, 8), 1.0, 1.0, divide=True).select("i", "j", "grad_x", "grad_y")
+    x = x.join(g, ["i", "j"])
+    px, py = var("mx") - var("grad_x") * (2.0 * th), var("my") - var("grad_y") * (2.0 * th)
+    x = x.select("i", "j", "rho", mx=(px + py * w) / d * 2.0 - var("mx"), my=(py - px * w) / d * 2.0 - var("my"))
+    return _round(x, 5).sql()
+
+
 PYTHON = {
+    "program_matrix_free": program_matrix_free,
+    "program_schur": program_schur,
     "mg_solve": mg_solve,
     "fft_solve": fft_solve,
     "polar_solve": polar_solve,
@@ -573,4 +688,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {name: plan.sql() for name, plan in plans().items()}
     out["program_step"] = plans()["step_ssprk2"].sql()
+    out |= {"mg_solve": _four_boxes_sql(), "fft_solve": _four_boxes_sql(), "polar_solve": POLAR_SQL, "solve_fields": _solve_fields_sql()}
+    out |= {"newton_source": NEWTON_SQL, "newton_report": NEWTON_REPORT_SQL, "spectrum_4x4": SPECTRUM_SQL}
+    out |= {f"{k}_solve": _screened_sql(var("u") / -100.0, "x", 5) for k in elliptic.KRYLOV}
+    out |= {"screened_solve": _screened_sql(var("u"), "phi", 5), "program_matrix_free": _screened_sql(-var("u"), "u", 5, 2.0), "program_schur": _schur_sql()}
     return out
