@@ -58,8 +58,9 @@ def to_array(df: DataFrame, names: list[str], shape: tuple[int, int]) -> dict[st
 
 
 def write_field(df: DataFrame, path: str, block: str = "field", level: int = 0) -> None:
-    """Parquet, partitioned by block and level: both are pruned when read back."""
-    df.withColumns({"block": F.lit(block), "level": F.lit(level)}).write.mode("overwrite").partitionBy("block", "level").parquet(path)
+    """Parquet, partitioned by block and level: both are pruned when read back. Only this block's level is replaced."""
+    rows = df.withColumns({"block": F.lit(block), "level": F.lit(level)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block", "level").parquet(path)
 
 
 def read_field(spark: SparkSession, path: str, block: str | None = None, level: int | None = None) -> DataFrame:
@@ -115,37 +116,59 @@ class Checkpoint:
     histories: dict[str, list[DataFrame]] = field(default_factory=dict)
     held: dict[str, tuple[DataFrame, int, float]] = field(default_factory=dict)
     phi: DataFrame | None = None
+    boxes: list[list[list[int]]] = field(default_factory=list)  # corners, by finer level
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    spark.createDataFrame([(text,)], "manifest string").coalesce(1).write.mode("overwrite").json(path)
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """Complete checkpoints in a folder, oldest first."""
+    files, place = _files(spark, f"{path}/manifest-*/_SUCCESS")
+    found = files.globStatus(place) or []
+    return sorted(int(x.getPath().getParent().getName().split("-")[1]) for x in found)
 
 
 def save(spark: SparkSession, c: Checkpoint, path: str) -> None:
-    """Tables first, the manifest last: a folder without one isn't a checkpoint."""
+    """A new generation beside the last one: tables first, its manifest last.
+
+    A run that dies midway leaves the last generation as it was. The one before the last
+    stays too, as states may still be read from it; older ones are deleted.
+    """
+    old = _generations(spark, path)
+    k = old[-1] + 1 if old else 0
+    at = f"{path}/data-{k}"
     for b, df in c.states.items():
-        df.write.mode("overwrite").parquet(f"{path}/state/{b}")
+        df.write.mode("overwrite").parquet(f"{at}/state/{b}")
     for n, ring in c.histories.items():
-        for k, df in enumerate(ring):
-            df.write.mode("overwrite").parquet(f"{path}/history/{n}/{k}")
+        for q, df in enumerate(ring):
+            df.write.mode("overwrite").parquet(f"{at}/history/{n}/{q}")
     for n, (df, _, _) in c.held.items():
-        df.write.mode("overwrite").parquet(f"{path}/held/{n}")
+        df.write.mode("overwrite").parquet(f"{at}/held/{n}")
     if c.phi is not None:
-        c.phi.write.mode("overwrite").parquet(f"{path}/phi")
+        c.phi.write.mode("overwrite").parquet(f"{at}/phi")
     manifest = {
         "version": VERSION, "shape": list(c.shape), "t": c.t, "step": c.step, "program": c.program, "phi": c.phi is not None,
         "blocks": {b: [x for x in df.columns if x not in ("i", "j")] for b, df in c.states.items()},
         "histories": {n: len(r) for n, r in c.histories.items()}, "held": {n: [s, a] for n, (_, s, a) in c.held.items()},
+        "boxes": c.boxes,
     }
-    _put(spark, f"{path}/manifest", json.dumps(manifest))
+    text = spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1)
+    text.write.mode("overwrite").json(f"{path}/manifest-{k}")
+    for q in old[:-1]:
+        for gone in (f"{path}/manifest-{q}", f"{path}/data-{q}"):
+            files, place = _files(spark, gone)
+            files.delete(place, True)
 
 
 def restart(spark: SparkSession, path: str, blocks: dict[str, list[str]], shape: tuple[int, int], program: str = "", histories: list[str] | None = None) -> Checkpoint:
     """The checkpoint, if its version, grid, blocks (in order), components, program and histories fit."""
-    try:
-        m = json.loads(spark.read.schema("manifest string").json(f"{path}/manifest").first()["manifest"])
-    except Exception as e:  # the reader names the path
-        raise RestartError(f"no complete checkpoint in {path}") from e
+    found = _generations(spark, path)
+    if not found:
+        raise RestartError(f"no complete checkpoint in {path}")
+    m = json.loads(spark.read.schema("manifest string").json(f"{path}/manifest-{found[-1]}").first()["manifest"])
     tests = [
         ("version", m["version"], VERSION), ("grid", tuple(m["shape"]), tuple(shape)), ("blocks", list(m["blocks"]), list(blocks)),
         ("components", m["blocks"], blocks), ("program", m["program"], program),
@@ -155,14 +178,64 @@ def restart(spark: SparkSession, path: str, blocks: dict[str, list[str]], shape:
             raise RestartError(f"{what}: the checkpoint has {has!r}, the run needs {needs!r}")
     if missing := set(histories or []) - set(m["histories"]):
         raise RestartError(f"the checkpoint lacks the histories {sorted(missing)}")
-    read = spark.read.parquet
+    read, path = spark.read.parquet, f"{path}/data-{found[-1]}"
     return Checkpoint(
         {b: read(f"{path}/state/{b}") for b in m["blocks"]}, tuple(m["shape"]), m["t"], m["step"], m["program"],
         {n: [read(f"{path}/history/{n}/{k}") for k in range(d)] for n, d in m["histories"].items()},
-        {n: (read(f"{path}/held/{n}"), s, a) for n, (s, a) in m["held"].items()}, read(f"{path}/phi") if m["phi"] else None,
+        {n: (read(f"{path}/held/{n}"), s, a) for n, (s, a) in m["held"].items()}, read(f"{path}/phi") if m["phi"] else None, m["boxes"],
     )
 
 
+def save_levels(spark: SparkSession, h, folder: str, path: str, t: float, step: int) -> None:
+    """A hierarchy's checkpoint: one table a level, the boxes in the manifest."""
+    states = {f"level{k}": level.state.frame(spark, folder) for k, level in enumerate(h.levels)}
+    boxes = [[[b.i0, b.j0, b.i1, b.j1] for b in level.boxes] for level in h.levels[1:]]
+    save(spark, Checkpoint(states, h.scheme.shape, t, step, boxes=boxes), path)
+
+
+def restart_levels(spark: SparkSession, h, path: str) -> tuple[float, int]:
+    """Puts the levels of a checkpoint in a hierarchy of the same scheme; gives the clock."""
+    from fieldloom.operators.grid import Box
+    from fieldloom.operators.hierarchy import Level
+    from fieldloom.plans.relation import Given
+
+    found = _generations(spark, path)
+    if not found:
+        raise RestartError(f"no complete checkpoint in {path}")
+    m = json.loads(spark.read.schema("manifest string").json(f"{path}/manifest-{found[-1]}").first()["manifest"])
+    c = restart(spark, path, {f"level{k}": h.scheme.names for k in range(len(m["boxes"]) + 1)}, h.scheme.shape)
+    h.levels = [Level(Given(df), [Box(*b) for b in c.boxes[k - 1]] if k else None) for k, df in enumerate(c.states.values())]
+    return c.t, c.step
+
+
+def write_levels(path: str, levels: list[dict[str, np.ndarray]], boxes: list[list], t: float, step: int) -> None:
+    """The coarse level's image file (.vti) or arrays (.npz), and every box's corners beside it."""
+    corners = [[k + 1, b.i0, b.j0, b.i1, b.j1] for k, found in enumerate(boxes) for b in found]
+    if path.endswith(".npz"):
+        with open(f"{path}.part", "wb") as f:
+            np.savez(f, t=t, macro_step=step, boxes=np.array(corners, np.int64).reshape(-1, 5), **{f"level{k}_{c}": a.T for k, arrays in enumerate(levels) for c, a in arrays.items()})
+        import os
+
+        os.replace(f"{path}.part", path)
+        return
+    write_vti(path, levels[0])
+    with open(f"{path}.boxes", "w") as f:
+        f.write("level i0 j0 i1 j1\n" + "".join(" ".join(map(str, c)) + "\n" for c in corners))
+
+
+def write_hdf5(path: str, arrays: dict[str, dict[str, np.ndarray]], t: float, step: int) -> None:
+    """One group a block, one dataset a component; needs h5py."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise RuntimeError("HDF5 output needs the h5py package; Parquet, npz and vti don't") from e
+    with h5py.File(path, "w") as f:
+        f.attrs["t"], f.attrs["macro_step"] = t, step
+        for block, comps in arrays.items():
+            for c, a in comps.items():
+                f.create_dataset(f"{block}/{c}", data=a.T)
+
+
 @dataclass(frozen=True)
 class OutputPolicy:
     """Which levels are written, how often, in which form."""

@@ -203,14 +203,21 @@ class System:
         return dt
 
     def step_adaptive(self, cfl: float, h: float) -> float:
-        """The slowest block sets the step; the others take as many substeps as they need."""
+        """The slowest block sets the step; the others take as many substeps as they need, in this step only."""
         speeds = {b.name: max(b.speed(b.state), 1e-30) for b in self.blocks if b.speed and b.evolve}
+        if not speeds:
+            raise ValueError("no block that evolves has a speed")
         slowest = min(speeds.values())
-        for b in self.blocks:
-            if b.name in speeds:
-                b.substeps = -int(-(b.stride * speeds[b.name] / slowest) // 1)
-        dt = cfl * h / slowest
-        self.advance(dt)
+        declared = [b.substeps for b in self.blocks]
+        try:
+            for b in self.blocks:
+                if b.name in speeds:
+                    b.substeps = max(b.substeps, -int(-(b.stride * speeds[b.name] / slowest) // 1))
+            dt = cfl * h / slowest
+            self.advance(dt)
+        finally:
+            for b, n in zip(self.blocks, declared):
+                b.substeps = n
         return dt
 
     def run(self, t_end: float, cfl: float, h: float, max_steps: int = 10_000) -> int:
@@ -222,6 +229,54 @@ class System:
         return n
 
 
+def grid_step(geometry) -> float:
+    """The length that a step is measured by: the smaller spacing, on a ring with the inner arc."""
+    if hasattr(geometry, "dr"):
+        return min(geometry.dr, geometry.r0 * geometry.dt)
+    return min(geometry.dx, geometry.dy)
+
+
+@dataclass(frozen=True)
+class ProgramTime:
+    """The cadence of a whole step program: every ``stride`` macro steps, in ``substeps`` parts."""
+
+    substeps: int = 1
+    stride: int = 1
+
+    def __post_init__(self):
+        if self.substeps < 1 or self.stride < 1:
+            raise ValueError("substeps and stride are positive")
+
+    def run(self, machine, program_of: Callable[[float], Any], dt: float, step: int) -> bool:
+        """``program_of`` records the program for a step size; whether it ran."""
+        if not stride_due(step, self.stride):
+            return False
+        part = self.stride * dt / self.substeps
+        for _ in range(self.substeps):
+            machine.execute(program_of(part), part)
+        return True
+
+
+def euler_step(state: dict[str, Any], rate: Callable[[dict[str, Any]], dict[str, Any]], dt: float) -> dict[str, Any]:
+    """Host reference: arrays by block, U + dt R(U)."""
+    r = rate(state)
+    return {b: u + dt * r[b] for b, u in state.items()}
+
+
+def ssprk2_step(state: dict[str, Any], rate: Callable[[dict[str, Any]], dict[str, Any]], dt: float) -> dict[str, Any]:
+    """Host reference: the mean of the start and two Euler steps."""
+    twice = euler_step(euler_step(state, rate, dt), rate, dt)
+    return {b: 0.5 * u + 0.5 * twice[b] for b, u in state.items()}
+
+
+def same_layout(layouts: dict[str, list]) -> None:
+    """All blocks share one hierarchy; an error names the first that differs."""
+    first = next(iter(layouts), None)
+    for b, boxes in layouts.items():
+        if boxes != layouts[first]:
+            raise ValueError(f"block {b!r} has another layout than {first!r}")
+
+
 def micro_batches(spark: SparkSession, folder: str, schema: str, on_step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Structured Streaming over a folder: each micro-batch is a macro step.
 

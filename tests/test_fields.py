@@ -15,11 +15,7 @@ from fieldloom.plans import time as tm
 from fieldloom.plans.relation import Given
 from fieldloom.sources import fields
 
-SQL_CHECKED = [
-    "raster_density", "stats", "hotspot", "cfl_dt_source", "expressions", "mask_where", "laplacian_dirichlet", "laplacian_foextrap", "cross_div", "ghost_dirichlet_2",
-    "shortley_weller", "weno5_faces", "flux_hllc", "rhs_masked", "rhs_cutcell", "polar_rhs", "step_ssprk3", "step_ars222", "schur_stage", "stride_catchup", "hold_cache", "history_lag",
-    "coupled_source", "grow_tags", "uncovered_anti", "coarse_to_fine", "reflux_correction", "morton_partition", "gs_black_sweep", "dft_poisson", "moments_flux", "bgk_source",
-]
+SQL_CHECKED = sorted(set(named.oracle_sql()) - {"tag_bbox"})  # no tags on the smallest tables
 
 
 @pytest.mark.parametrize("name", SQL_CHECKED)
@@ -257,7 +253,7 @@ def test_rows_of_python_queries(spark):
     s = PYTHON["spectrum_4x4"](spark, SMALL).limit(5).toPandas()
     assert s["all_real"].all()
     n = PYTHON["newton_source"](spark, SMALL).toPandas()
-    assert n["ok"].all() and n["residual"].max() < 1.0
+    assert n["residual"].max() == 0.0
 
 
 def test_grid_is_complete(spark):

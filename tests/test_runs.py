@@ -1,5 +1,7 @@
 """Cadence, programs, checkpoints, files, and the driver's entry."""
 
+import os
+
 import numpy as np
 import pytest
 from conftest import SMALL
@@ -32,7 +34,7 @@ def test_cfl_names_what_binds():
     s.bounds = {}
     assert s.cfl_dt(0.5, 1.0) == 0.125 and s.reason == "block fast"
     s.step_adaptive(0.5, 1.0)
-    assert fast.substeps == 4 and s.clock.t == 0.5
+    assert fast.substeps == 1 and s.clock.t == 0.5  # what was declared stays; see test_adaptive_substeps_are_not_kept
     assert s.run(1.0, 0.5, 1.0) >= 1 and s.clock.t >= 1.0
 
 
@@ -147,6 +149,83 @@ def test_checkpoint_and_restart(spark, tmp_path):
         fields.restart(spark, str(tmp_path / "none"), {}, (3, 3))
 
 
+def test_a_checkpoint_that_dies_leaves_the_last_one(spark, tmp_path, monkeypatch):
+    u = fields.from_array(spark, {"rho": np.arange(9.0).reshape(3, 3)})
+    path = str(tmp_path / "c")
+    fields.save(spark, fields.Checkpoint({"gas": u}, (3, 3), 1.0, 1), path)
+    monkeypatch.setattr(fields.json, "dumps", lambda x: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        fields.save(spark, fields.Checkpoint({"gas": u.limit(1)}, (3, 3), 2.0, 2), path)
+    monkeypatch.undo()
+    d = fields.restart(spark, path, {"gas": ["rho"]}, (3, 3))
+    assert d.t == 1.0 and d.states["gas"].count() == 9
+    for k in range(3):  # a state read from a folder can be saved to it
+        fields.save(spark, fields.Checkpoint(d.states, (3, 3), 3.0 + k, 3), path)
+        d = fields.restart(spark, path, {"gas": ["rho"]}, (3, 3))
+    assert d.t == 5.0 and d.states["gas"].count() == 9
+    assert len([x for x in os.listdir(path) if x.startswith("data-")]) == 2
+
+
+def test_a_block_leaves_the_others(spark, tmp_path):
+    u = fields.from_array(spark, {"u": np.arange(4.0).reshape(2, 2)})
+    for b in ("x", "y", "x"):
+        fields.write_field(u, str(tmp_path / "f"), b)
+    assert fields.read_field(spark, str(tmp_path / "f"), "y").count() == 4 and fields.read_field(spark, str(tmp_path / "f"), "x").count() == 4
+
+
+def test_levels_in_and_out(spark, tmp_path):
+    from fieldloom.functions import physics
+    from fieldloom.operators.grid import Box
+    from fieldloom.operators.hierarchy import Hierarchy, Level, Scheme
+    from fieldloom.plans.relation import Given
+
+    scheme = Scheme(physics.Advection(), (0.25, 0.25), (4, 4))
+    h = Hierarchy(scheme, [Level(Given(fields.from_array(spark, {"u": np.arange(16.0).reshape(4, 4)})))])
+    h.regrid(1, [Box(2, 2, 5, 5)])
+    fields.save_levels(spark, h, "", str(tmp_path / "c"), 0.5, 3)
+    g = Hierarchy(scheme, [])
+    assert fields.restart_levels(spark, g, str(tmp_path / "c")) == (0.5, 3)
+    assert g.levels[1].boxes == [Box(2, 2, 5, 5)]
+    for a, b in zip(h.levels, g.levels):
+        assert sorted(a.state.frame(spark, "").collect()) == sorted(b.state.frame(spark, "").collect())
+    a = np.arange(16.0).reshape(4, 4)
+    fields.write_levels(str(tmp_path / "x.npz"), [{"u": a}], [[Box(2, 2, 5, 5)]], 0.5, 3)
+    z = fields.read_npz(str(tmp_path / "x.npz"))
+    assert (z["level0_u"].T == a).all() and z["boxes"].tolist() == [[1, 2, 2, 5, 5]]
+    fields.write_levels(str(tmp_path / "x.vti"), [{"u": a}], [[Box(2, 2, 5, 5)]], 0.5, 3)
+    assert (tmp_path / "x.vti.boxes").read_text().split("\n")[1] == "1 2 2 5 5"
+
+
+def test_adaptive_substeps_are_not_kept():
+    taken = []
+    a = sc.Block("a", 0.0, lambda u, dt: u, speed=lambda u: 1.0)
+    b = sc.Block("b", 0.0, lambda u, dt: taken.append(dt) or u, substeps=2, speed=lambda u: 3.5)
+    s = sc.System([a, b])
+    dt = s.step_adaptive(0.5, 0.1)
+    assert dt == pytest.approx(0.05) and len(taken) == 4 and b.substeps == 2
+
+
+def test_cadence_of_programs_and_host_steps():
+    from fieldloom.operators.grid import Geometry, PolarGeometry
+
+    class Counts:
+        def __init__(self):
+            self.parts = []
+
+        def execute(self, program, dt):
+            self.parts.append(dt)
+
+    m, cadence = Counts(), sc.ProgramTime(substeps=2, stride=3)
+    ran = [cadence.run(m, lambda dt: None, 0.1, k) for k in range(6)]
+    assert ran == [False, False, True] * 2 and m.parts == pytest.approx([0.15] * 4)
+    assert sc.grid_step(Geometry(4, 8)) == 0.125 and sc.grid_step(PolarGeometry(4, 100, 0.1, 1.1)) == pytest.approx(0.1 * 2 * np.pi / 100)
+    rate = lambda s: {"u": -s["u"]}
+    assert sc.euler_step({"u": 1.0}, rate, 0.1)["u"] == pytest.approx(0.9) and sc.ssprk2_step({"u": 1.0}, rate, 0.1)["u"] == pytest.approx(0.905)
+    sc.same_layout({"a": [1], "b": [1]})
+    with pytest.raises(ValueError, match="'b'"):
+        sc.same_layout({"a": [1], "b": [2]})
+
+
 def test_files(spark, tmp_path):
     a = np.arange(6.0).reshape(2, 3) / 7
     fields.write_npz(str(tmp_path / "x.npz"), {"b": {"u": a}}, 0.5, 3, a)
