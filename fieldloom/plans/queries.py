@@ -673,6 +673,22 @@ PYTHON = {
 }
 
 
+def at_size(n: int) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Headline steps on an n x n grid, for timing; the queries use 32 x 32."""
+    h, shape = 1.0 / n, (n, n)
+    gas = grid.euler_state(n)
+    made = {
+        "rhs_euler_muscl": fv.rhs(gas, GAS, shape, h, h, limiter="minmod", riemann="hll"),
+        "euler_step": tm.euler(gas, lambda x: fv.rhs(x, GAS, shape, h, h, limiter="minmod", riemann="hllc"), GAS.names, 1e-5),
+        "step_ssprk3": tm.ssprk3(grid.density(n), lambda x: fv.rhs(x, WIND, shape, h, h), ["u"], 1e-4),
+        "step_weno5": tm.euler(grid.density(n), lambda x: fv.rhs(x, WIND, shape, h, h, limiter="weno5"), ["u"], 1e-4),
+        "average_down": amr.average_down(grid.density(n), ["u"]),
+    }
+    out = {k: (lambda spark, folder, p=p: p.frame(spark, folder)) for k, p in made.items()}
+    out["fft_solve"] = lambda spark, folder: lines.poisson(grid.density(n).frame(spark, folder), "u", shape, (h, h))
+    return out
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return plans()[name].frame(spark, sf_dir)
