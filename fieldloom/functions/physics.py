@@ -134,6 +134,9 @@ class Isothermal:
     def to_conservative(self, p):
         return [p[0], p[0] * p[1], p[0] * p[2]]
 
+    def pressure(self, u: State) -> Expr:
+        return u[0] * self.cs2
+
     def polar_geometric_source(self, u: State, r: Expr) -> State:
         rho = maximum(u[0], self.vacuum_floor)
         vr, vt = u[1] / rho, u[2] / rho
@@ -358,27 +361,71 @@ def hll(model, ul, al, ur, ar, direction) -> State:
     return hll_with_speeds(model, ul, al, ur, ar, direction, *hll_speeds(model, ul, al, ur, ar, direction))
 
 
-def hllc(model: Euler, ul, al, ur, ar, direction) -> State:
-    """Contact-restoring star states of the ideal gas."""
-    n, t = 1 + direction, 2 - direction
+def _places(model, direction: int) -> dict[str, int | None]:
+    """Where a model has its density, its momenta along and across a face, and its energy."""
+    roles = list(model.roles)
+    along, across = ("MomentumY", "MomentumX") if direction else ("MomentumX", "MomentumY")
+    found = {k: roles.index(r) if r in roles else None for k, r in (("rho", "Density"), ("n", along), ("t", across), ("e", "Energy"))}
+    if found["rho"] is None or found["n"] is None or not hasattr(model, "pressure"):
+        raise ValueError("a contact needs a density, a momentum and a pressure")
+    return found
+
+
+def hllc(model, ul, al, ur, ar, direction) -> State:
+    """Contact-restoring star states of any fluid: density, momenta and a pressure, an energy or
+    none, and further components, which are carried with the fluid."""
+    at = _places(model, direction)
+    r, n = at["rho"], at["n"]
     sl, sr = hll_speeds(model, ul, al, ur, ar, direction)
-    vl, vr, pl, pr = ul[n] / ul[0], ur[n] / ur[0], model.pressure(ul), model.pressure(ur)
-    ml, mr = ul[0] * (sl - vl), ur[0] * (sr - vr)
+    vl, vr, pl, pr = ul[n] / ul[r], ur[n] / ur[r], model.pressure(ul), model.pressure(ur)
+    ml, mr = ul[r] * (sl - vl), ur[r] * (sr - vr)
     star = safe_div(pr - pl + ml * vl - mr * vr, ml - mr)
     fl, fr = model.flux(ul, al, direction), model.flux(ur, ar, direction)
 
     def side(u: State, f: State, s: Expr, v: Expr, p: Expr, m: Expr) -> State:
         rho = safe_div(m, s - star)
-        inner = [rho, rho, rho, rho * (u[3] / u[0] + (star - v) * (star + safe_div(p, m)))]
-        inner[n] = rho * star
-        inner[t] = rho * (u[t] / u[0])
+        inner = [rho * (x / u[r]) for x in u]
+        inner[r], inner[n] = rho, rho * star
+        if at["e"] is not None:
+            inner[at["e"]] = rho * (u[at["e"]] / u[r] + (star - v) * (star + safe_div(p, m)))
         return [x + s * (a - b) for x, a, b in zip(f, inner, u)]
 
     left, right = side(ul, fl, sl, vl, pl, ml), side(ur, fr, sr, vr, pr, mr)
     return [where(sl >= 0.0, a, where(sr <= 0.0, b, where(star >= 0.0, x, y))) for a, b, x, y in zip(fl, fr, left, right)]
 
 
-def roe(model: Euler, ul, al, ur, ar, direction, fix: float = 0.1) -> State:
+def roe(model, ul, al, ur, ar, direction, fix: float = 0.1) -> State:
+    """Roe's flux: of a gas with an energy by its four waves, of a fluid of constant sound speed by its three."""
+    if "Energy" not in model.roles:
+        return _roe_isothermal(model, ul, al, ur, ar, direction, fix)
+    return _roe_gas(model, ul, al, ur, ar, direction, fix)
+
+
+def _roe_isothermal(model, ul, al, ur, ar, direction, fix: float) -> State:
+    at = _places(model, direction)
+    if not hasattr(model, "cs2") or len(model.names) != 3:
+        raise ValueError("waves are known for a gas, and for density and momenta at a constant sound speed")
+    r, n, t = at["rho"], at["n"], at["t"]
+    c = const(model.cs2**0.5)
+    wl, wr = sqrt(ul[r]), sqrt(ur[r])
+    v, w = ((wl * (ul[k] / ul[r]) + wr * (ur[k] / ur[r])) / (wl + wr) for k in (n, t))
+    d = [b - a for a, b in zip(ul, ur)]
+    minus = ((v + c) * d[r] - d[n]) / (c * 2.0)
+    plus = (d[n] - (v - c) * d[r]) / (c * 2.0)
+    shear = d[t] - w * d[r]
+
+    def fixed(x: Expr) -> Expr:
+        eps = c * fix
+        return where(abs_(x) < eps, (x * x / eps + eps) * 0.5, abs_(x))
+
+    a1, a2, a3 = fixed(v - c) * minus, abs_(v) * shear, fixed(v + c) * plus
+    wave: State = [const(0)] * 3
+    wave[r], wave[n], wave[t] = a1 + a3, a1 * (v - c) + a3 * (v + c), (a1 + a3) * w + a2
+    fl, fr = model.flux(ul, al, direction), model.flux(ur, ar, direction)
+    return [(x + y) * 0.5 - q * 0.5 for x, y, q in zip(fl, fr, wave)]
+
+
+def _roe_gas(model, ul, al, ur, ar, direction, fix: float) -> State:
     """Roe averages, four waves, and Harten's fix of the sound waves."""
     n, t = 1 + direction, 2 - direction
     g1 = model.gamma - 1

@@ -431,6 +431,56 @@ def gmres(op: Operator, rhs: DataFrame, restart: int = 30, tolerance: float = 1e
         x = at.select("i", "j", "b", step.alias("x"))
 
 
+class SolverContext:
+    """What an iterative method of one's own is written with, over named columns of one DataFrame.
+
+    ``cut`` ends an iteration: the table is written and older ones are deleted.
+    """
+
+    def __init__(self, op: Operator, rhs: DataFrame, precondition: Operator | None = None):
+        self.op, self.before, self.trail = op, precondition, Trail()
+        self.at = rhs.select("i", "j", "b", F.lit(0.0).alias("x"))
+
+    def set(self, **columns) -> None:
+        self.at = self.at.withColumns(columns)
+
+    def combine(self, out: str, *terms: tuple[float, str]) -> None:
+        """out = sum of a * column."""
+        self.set(**{out: sum((F.lit(float(a)) * F.col(c) for a, c in terms), F.lit(0.0))})
+
+    def apply(self, c: str, out: str) -> None:
+        self.cut()
+        self.at = _applied(self.at, self.op, c, out)
+        self.cut()
+
+    def precondition(self, c: str, out: str) -> None:
+        self.at = _applied(self.at, self.before, c, out)
+
+    def dots(self, **pairs: tuple[str, str]) -> dict[str, float]:
+        """Several products in one pass."""
+        return _sums(self.at, **pairs)
+
+    def norm2(self, c: str) -> float:
+        return math.sqrt(self.dots(n=(c, c))["n"])
+
+    def cut(self) -> None:
+        self.at = self.trail.cut(self.at)
+        self.trail.keep(self.at.sparkSession)
+
+
+def register_solver(name: str, method: Callable[[SolverContext, float, int], tuple[int, float]]) -> None:
+    """A method ``(context, tolerance, max_iter) -> (iterations, residual)`` that leaves its result in ``x``."""
+    if name in KRYLOV:
+        raise ValueError(f"{name!r} is taken")
+
+    def run(op, rhs, tolerance=1e-8, max_iter=200, precondition=None, strict=True):
+        c = SolverContext(op, rhs, precondition)
+        k, r = method(c, tolerance, max_iter)
+        return _end(name, c.at, k, r, r <= tolerance * c.norm2("b"), strict)
+
+    KRYLOV[name] = run
+
+
 KRYLOV = {"cg": conjugate_gradient, "bicgstab": bicgstab, "gmres": gmres, "richardson": richardson}
 
 

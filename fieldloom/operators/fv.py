@@ -65,7 +65,7 @@ def face_states(model, limiter: str, primitive: bool = False, floor: float | Non
 _READS = {"none": (0, 1), "minmod": (-1, 2), "vanleer": (-1, 2), "weno5": (-2, 3)}
 
 
-def _both_faces(field: Plan, names: list[str], shape, bc: Boundary, reads: tuple[int, int], flux: Callable, columns: list[str], aux: list[str], second: bool = False, within: tuple[str, ...] = ()) -> Plan:
+def _both_faces(field: Plan, names: list[str], shape, bc: Boundary, reads: tuple[int, int], flux: Callable, columns: list[str], aux: list[str], second: bool = False, within: tuple[str, ...] = (), aux_rules: dict[str, Boundary] | None = None) -> Plan:
     """``f{axis}_{name}`` and ``g{axis}_{name}``, axis by axis, the one that the rows lie along first.
 
     ``flux(x, d, at)`` gives a plan with the columns ``_f_{name}`` of the upper (0) or lower
@@ -79,8 +79,11 @@ def _both_faces(field: Plan, names: list[str], shape, bc: Boundary, reads: tuple
         ks = range(lo if wraps else lo - 1, hi + 1)
         near = [-1, 1] if second else [1]
         moved = out.shift(columns, _moves(d, sorted({*ks, *near})), shape, bc, within)
-        if aux:
-            moved = moved.shift(aux, _moves(d, [1] if wraps else [-1, 1]), shape, kept, within)
+        own = aux_rules or {}
+        for rule in [kept, *dict.fromkeys(own.values())]:
+            those = [a for a in aux if (axis_rules(own[a]) if a in own else kept) == axis_rules(rule)]
+            if those and (rule is kept or axis_rules(rule) != kept):
+                moved = moved.shift(those, _moves(d, [1] if wraps else [-1, 1]), shape, rule, within)
         more = {f"d{axis}_{c}": var(_name(c, 1)) - var(c) * 2.0 + var(_name(c, -1)) for c in names} if second else {}
         keep = [*out.columns, *[f"f{axis}_{c}" for c in names]]
         if wraps:
@@ -108,12 +111,14 @@ def face_fluxes(
     second: bool = False,
     mask: str | None = None,
     within: tuple[str, ...] = (),
+    aux_rules: dict[str, Boundary] | None = None,
 ) -> Plan:
     """``f{x|y}_{component}`` and ``g{x|y}_{component}``: the fluxes through each cell's upper and lower faces.
 
     States are columns first, so that each reconstruction is computed once. ``mask``: no
     flux through faces between cells where it isn't 0.5 or more on both sides. Auxiliary
-    columns and masks are periodic where the states are, and else copied at the edges.
+    columns and masks are periodic where the states are, and else copied at the edges, but
+    for those with a rule of their own in ``aux_rules``.
     """
     reach_needed(limiter, ghosts)
     solver = physics.RIEMANN[riemann]
@@ -131,7 +136,7 @@ def face_fluxes(
             found = [where(open_, e, 0.0) for e in found]
         return x.with_(**{f"_f_{c}": e for c, e in zip(model.names, found)})
 
-    return _both_faces(field, model.names, shape, bc, _READS[limiter], flux, model.names, beside, second, within)
+    return _both_faces(field, model.names, shape, bc, _READS[limiter], flux, model.names, beside, second, within, aux_rules)
 
 
 def rhs(field: Plan, model, shape, dx: float, dy: float, source=None, aux: list[str] | None = None, bc: Boundary = "periodic", viscosity: float = 0.0, fluxes: Plan | None = None, prefix: str = "r_", volume: Expr | None = None, **scheme) -> Plan:

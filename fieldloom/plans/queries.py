@@ -499,7 +499,7 @@ def newton_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def newton_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After a single Newton step: the worst residual, failed cells, and the first cell with the worst residual."""
     x = _newton(spark, sf_dir, 1)
-    worst = F.max(F.struct(F.round("residual", 6).alias("residual"), (-(F.col("j") * N + F.col("i"))).alias("place")))
+    worst = F.max(F.struct(F.round("residual", 3).alias("residual"), (-(F.col("j") * N + F.col("i"))).alias("place")))
     out = x.agg(worst.alias("w"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("failed"))
     return out.select(F.col("w.residual").alias("residual"), (-F.col("w.place")).cast("long").alias("place"), F.col("failed").cast("long").alias("failed"))
 
@@ -513,7 +513,7 @@ SELECT i, j, round(sign(rho) * (sqrt(1 + 0.004::DOUBLE * abs(rho)) - 1) / 0.002:
   round(sign(mx) * (sqrt(1 + 0.004::DOUBLE * abs(mx)) - 1) / 0.002::DOUBLE, 6) + 0.0 AS mx, 0.0::DOUBLE AS residual FROM cells"""
 NEWTON_REPORT_SQL = f"""WITH {_GAS_SQL},
 step AS (SELECT i, j, rho, mx, rho - 0.001::DOUBLE * rho * abs(rho) / (1 + 0.002::DOUBLE * abs(rho)) AS x, mx - 0.001::DOUBLE * mx * abs(mx) / (1 + 0.002::DOUBLE * abs(mx)) AS y FROM cells),
-rest AS (SELECT j * 32 + i AS place, round(greatest(abs(x - rho + 0.001::DOUBLE * x * abs(x)), abs(y - mx + 0.001::DOUBLE * y * abs(y))), 6) AS residual FROM step)
+rest AS (SELECT j * 32 + i AS place, round(greatest(abs(x - rho + 0.001::DOUBLE * x * abs(x)), abs(y - mx + 0.001::DOUBLE * y * abs(y))), 3) AS residual FROM step)
 SELECT max(residual) AS residual, (SELECT min(place) FROM rest WHERE residual = (SELECT max(residual) FROM rest))::BIGINT AS place, 0::BIGINT AS failed FROM rest"""
 SPECTRUM_SQL = f"""WITH {_GAS_SQL},
 gas AS (SELECT i, j, mx / rho AS v, sqrt(1.4::DOUBLE * 0.4 * (10 * rho + mx * mx + my * my - (mx * mx + my * my) / rho / 2) / rho) AS c FROM cells)
