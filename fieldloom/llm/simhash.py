@@ -11,7 +11,8 @@
    hundred members at most. A shard gives a star of links for each of its groups, never
    all pairs.
 3. ``components``: connected components over the links by alternating large-star and
-   small-star rounds, each written to the shared folder.
+   small-star rounds, each written to the shared folder. A hub's links may be a third of
+   all: hubs are few, so their labels are sent to all tasks and their links stay spread.
 
 Trees aren't sent through the driver, which would collect all fingerprints: the keys
 bring every possible partner into the shard's own task.
@@ -224,14 +225,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = cut(edges, "links")
     for _ in range(max_rounds):
         many = edges.groupBy("a").count().where("count > 1").select("a")
-        chain = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi")
+        chain = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
         if many.union(chain).isEmpty():
             return edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        rows, n = 2 * edges.count(), F.count(F.lit(1)).alias("n")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), n).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_classes(both, least, "a", rows).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), n)
+        small = join_classes(large, least, "a", rows).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         drop_cut(edges)
         edges = after

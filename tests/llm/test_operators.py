@@ -232,6 +232,35 @@ def test_pipeline_links_by_exact_similarity(spark):
     assert kept == {i for i, _ in rows} - away
 
 
+def test_near_copies_of_the_documents(spark):
+    """All pairs of distinct texts at 0.8 or more, found over an index of shingles, are linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    component = {r["doc_id"]: r["component"] for r in jaccard.near_duplicates(docs).collect()}
+    one = {}
+    for r in docs.collect():
+        one.setdefault(r["text"], r["doc_id"])
+    sets = {i: _shingles(t) for t, i in one.items()}
+    holders, pairs = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for x in s:
+            for k in holders[x]:
+                pairs[k, i] += 1
+            holders[x].append(i)
+    near = [(a, b) for (a, b), n in pairs.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    linked = [component[a] == component[b] for a, b in near]
+    assert near and sum(linked) >= 0.9 * len(linked)
+    met = {i for pair in near for i in pair}
+    groups = Counter(component[i] for i in sets if sets[i])
+    assert all(i in met for i in sets if sets[i] and groups[component[i]] > 1)
+
+
+def test_hubs_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(shared, "COMMON", 5)
+    edges = [(k, 0) for k in range(1, 60)] + [(100 + k, 59) for k in range(40)] + [(200, 199)]
+    got = {r["a"]: r["b"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(1, 60)}, **{100 + k: 0 for k in range(40)}, 200: 199}
+
+
 def test_jaccard_of_odd_rows(spark, odd, empty):
     found = jaccard.near_duplicates(odd).collect()
     by = defaultdict(set)
