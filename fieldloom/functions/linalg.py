@@ -38,7 +38,7 @@ def _matrices(series) -> np.ndarray:
 
 
 def solve_dense(a: Column, b: Column) -> Column:
-    """x of A x = b per row; a singular matrix gives NaN."""
+    """x of A x = b per row; a singular matrix gives nulls."""
 
     @F.pandas_udf("array<double>")
     def run(ms, vs):
@@ -74,16 +74,66 @@ def spectrum(a: Column, im_tol: float = 1e-5) -> Column:
     return run(a)
 
 
-def matrix_sign_apply(a: np.ndarray, v: np.ndarray, steps: int = 60, tolerance: float = 1e-12) -> np.ndarray:
-    """|A| v by Newton's iteration for the sign of A; for flux Jacobians of any model."""
-    s = a.copy()
-    for _ in range(steps):
-        new = 0.5 * (s + np.linalg.inv(s))
-        if np.abs(new - s).max() <= tolerance:
+def matrix_sign(a: np.ndarray, steps: int = 60, tolerance: float = 1e-12) -> np.ndarray:
+    """The signs of a batch of matrices with real eigenvalues, by Newton's iteration; an eigenvalue of
+    zero has none, so matrices that are singular give NaN."""
+    s = a.astype(float).copy()
+    with np.errstate(all="ignore"):
+        bad = ~(np.abs(np.linalg.det(s)) > 1e-14 * np.maximum(np.abs(s).sum(-1).max(-1), 1e-300) ** s.shape[-1])
+        s[bad] = np.eye(s.shape[-1])
+        for _ in range(steps):
+            new = 0.5 * (s + np.linalg.inv(s))
+            moved = np.abs(new - s).max()
             s = new
-            break
-        s = new
-    return s @ a @ v
+            if moved <= tolerance:
+                break
+    s[bad] = np.nan
+    return s
+
+
+def matrix_sign_apply(a: np.ndarray, v: np.ndarray, steps: int = 60, tolerance: float = 1e-12) -> np.ndarray:
+    """|A| v, from the sign of A; for flux Jacobians of any model."""
+    return (matrix_sign(a[None], steps, tolerance)[0] @ a) @ v
+
+
+def abs_apply(a: Column, v: Column) -> Column:
+    """|A| v per row, batch by batch: the dissipation of Roe's flux from a flux Jacobian; nulls for a singular matrix."""
+
+    @F.pandas_udf("array<double>")
+    def run(ms, vs):
+        import pandas as pd
+
+        if not len(ms):
+            return pd.Series([], dtype=object)
+        m, x = _matrices(ms), np.array([list(r) for r in vs], dtype=np.float64)
+        return pd.Series(list(np.einsum("rab,rbc,rc->ra", matrix_sign(m), m, x)))
+
+    return run(a, v)
+
+
+def inverse(a: Column) -> Column:
+    """The inverse per row; nulls where there is none."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(ms):
+        import pandas as pd
+
+        if not len(ms):
+            return pd.Series([], dtype=object)
+        m = _matrices(ms)
+        bad = np.abs(np.linalg.det(m)) == 0
+        m[bad] = np.eye(m.shape[1])
+        out = np.linalg.inv(m)
+        out[bad] = np.nan
+        return pd.Series([[list(r) for r in x] for x in out])
+
+    return run(a)
+
+
+def norm_inf(a: Column) -> Column:
+    """The largest row sum of sizes, in generated code."""
+    sums = F.transform(a, lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + F.abs(x)))
+    return F.array_max(sums)
 
 
 def newton_source(u: Column, rate, width: int, dt: float, steps: int = 2, eps: float = 1e-7, damping: float = 1.0) -> Column:

@@ -108,19 +108,15 @@ def _moved(at: Scheme, x: Plan, dt: float) -> dict[str, Expr]:
     return out
 
 
-def advance(at: Scheme, level: int, state: Plan, boxes: list[Box] | None, coarse: Plan | None, dt: float, aux: Plan | None = None) -> tuple[Plan, Plan]:
-    """The state after one step, and the fluxes of the whole step (``i, j, fx_ .. gy_``)."""
+def advance(at: Scheme, level: int, state: Plan, boxes: list[Box] | None, coarse: Plan | None, dt: float, aux: Plan | None = None) -> Plan:
+    """The state after one explicit step, and the fluxes of the whole step (``fx_ .. gy_``)."""
     flux = [f"{s}{a}_{c}" for c in at.names for s in "fg" for a in "xy"]
     x = state
     if level == 0 and at.aux:
         x = x.join(aux.select("i", "j", *at.aux), ["i", "j"])
     if at.method == "euler":
         x = _faces(at, level, x, boxes, coarse)
-        done = x.with_(**_moved(at, x, dt))
-        new = done.select("i", "j", *at.names)
-        if at.implicit is not None:
-            new = at.implicit(new, dt)
-        return new, x.select("i", "j", *flux)
+        return x.with_(**_moved(at, x, dt)).select("i", "j", *at.names, *flux)
     x = x.with_(**{f"z_{c}": var(c) for c in at.names})
     for k, (a, b) in enumerate(((0.0, 1.0), (0.75, 0.25), (1.0 / 3.0, 2.0 / 3.0))):
         y = _faces(at, level, x, boxes, coarse)
@@ -128,7 +124,7 @@ def advance(at: Scheme, level: int, state: Plan, boxes: list[Box] | None, coarse
         sums = {f"e_{f}": var(f) * EFFECTIVE["ssprk3"][k] + (var(f"e_{f}") if k else 0.0) for f in flux}
         kept = {a_: var(a_) for a_ in at.aux} if level == 0 else {}
         x = y.select("i", "j", **{c: (var(f"z_{c}") * a + e * b if a else e) for c, e in moved.items()}, **{f"z_{c}": var(f"z_{c}") for c in at.names}, **sums, **kept)
-    return x.select("i", "j", *at.names), x.select("i", "j", **{f: var(f"e_{f}") for f in flux})
+    return x.select("i", "j", *at.names, **{f: var(f"e_{f}") for f in flux})
 
 
 def interface(at: Scheme, child: list[Box]) -> Plan:
@@ -217,8 +213,10 @@ class Hierarchy:
                 coarse = both.select("i", "j", **{c: amr.in_time(var(c), var(f"n_{c}"), part) for c in at.names})
             coarse = self._seen(level - 1, coarse, self._aux_of(level - 1))
         before = mine.state
-        after, fluxes = advance(at, level, before, mine.boxes, coarse, dt, self.aux)
-        after = self._cut(after)
+        done = self._cut(advance(at, level, before, mine.boxes, coarse, dt, self.aux))
+        after, fluxes = done.select("i", "j", *at.names), done.drop(*at.names)
+        if at.implicit is not None:
+            after = self._cut(at.implicit(after, dt))
         if level + 1 < len(self.levels):
             child = self.levels[level + 1]
             seen = [self._subcycle(level + 1, dt / 2, before, after, k / 2) for k in range(2)]

@@ -374,8 +374,6 @@ def plans() -> dict[str, Plan]:
         "average_down_patch": amr.average_down(fine, ["u"]),
         "reflux_correction": _round(_reflux()),
         "morton_partition": _sfc(),
-        "amr_step": _round(_amr_step(0)),
-        "amr_step_fine": _round(_amr_step(1)),
         "ghosts_in_time": _round(grid.counts().select("i", "j", u=amr.in_time(var("u"), var("m"), 0.25))),
         # layouts
         "halo_fill": halo.ghosts(u, ["u"], 8, 4, 2),
@@ -575,13 +573,22 @@ def _two_levels():
     return Hierarchy(scheme, [Level(_u(16)), Level(fine, boxes)])
 
 
-def _amr_step(level: int) -> Plan:
+def _amr_step(level: int, cut: Callable[[Plan], Plan] | None = None) -> Plan:
     h = _two_levels()
+    h.cut = cut
     h.sync()
     h.step(0.01)
     return h.levels[level].state
 
 
+def _amr_query(level: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """One step of both levels, each level's state and fluxes written once."""
+        return _round(_amr_step(level, lambda p: Given(elliptic._cut(p.frame(spark, sf_dir))))).frame(spark, sf_dir)
+
+    return run
+
+
 def program_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SSPRK2 as a recorded program, after the passes, over plans."""
     from fieldloom.plans.program import Machine, Program, optimize
@@ -656,6 +663,8 @@ def _schur_sql() -> str:
 
 
 PYTHON = {
+    "amr_step": _amr_query(0),
+    "amr_step_fine": _amr_query(1),
     "program_matrix_free": program_matrix_free,
     "program_schur": program_schur,
     "mg_solve": mg_solve,
@@ -704,6 +713,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {name: plan.sql() for name, plan in plans().items()}
     out["program_step"] = plans()["step_ssprk2"].sql()
+    out |= {"amr_step": _round(_amr_step(0)).sql(), "amr_step_fine": _round(_amr_step(1)).sql()}
     out |= {"mg_solve": _four_boxes_sql(), "fft_solve": _four_boxes_sql(), "polar_solve": POLAR_SQL, "solve_fields": _solve_fields_sql()}
     out |= {"newton_source": NEWTON_SQL, "newton_report": NEWTON_REPORT_SQL, "spectrum_4x4": SPECTRUM_SQL}
     out |= {f"{k}_solve": _screened_sql(var("u") / -100.0, "x", 5) for k in elliptic.KRYLOV}

@@ -135,3 +135,24 @@ def rotate_velocity(mx: str, my: str, w: Expr | float, theta: float = 1.0) -> di
     if theta == 1.0:
         return {mx: a, my: b}
     return {mx: var(mx) + (a - var(mx)) / theta, my: var(my) + (b - var(my)) / theta}
+
+
+#: Schemes by name: ``(u, rate, names, dt)`` to the next state.
+SCHEMES: dict[str, Callable[[Plan, Rate, list[str], float], Plan]] = {"euler": euler, "ssprk2": ssprk2, "ssprk3": ssprk3, "rk4": runge_kutta}
+
+
+def register_scheme(name: str, step: Callable[[Plan, Rate, list[str], float], Plan]) -> None:
+    """A scheme of one's own."""
+    if name in SCHEMES:
+        raise ValueError(f"{name!r} is taken")
+    SCHEMES[name] = step
+
+
+def advance(name: str, u: Plan, rate: Rate, names: list[str], dt: float) -> Plan:
+    """One step of a named scheme; it must give the columns that it got."""
+    if name not in SCHEMES:
+        raise KeyError(f"no scheme {name!r}; known: {sorted(SCHEMES)}")
+    out = SCHEMES[name](u, rate, names, dt)
+    if list(out.columns) != list(u.columns):
+        raise ValueError(f"{name} gave {out.columns} for {u.columns}")
+    return out

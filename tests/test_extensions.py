@@ -88,6 +88,46 @@ def test_rules_of_single_fields(spark):
     assert np.allclose(fields.to_array(y.frame(spark, ""), ["fx_n"], (5, 4))["fx_n"][-1], n * a)
 
 
+def test_matrices_per_row(spark):
+    from pyspark.sql import functions as F
+
+    from fieldloom.functions import linalg
+
+    rng = np.random.default_rng(8)
+    ms, vs = [], []
+    for _ in range(6):
+        q = rng.normal(size=(3, 3))
+        ms.append(q @ np.diag(rng.uniform(0.5, 3, 3) * rng.choice([-1, 1], 3)) @ np.linalg.inv(q))
+        vs.append(rng.normal(size=3))
+    ms.append(np.zeros((3, 3)))
+    vs.append(np.ones(3))
+    df = spark.createDataFrame([(k, m.tolist(), v.tolist()) for k, (m, v) in enumerate(zip(ms, vs))], "k int, m array<array<double>>, v array<double>")
+    got = df.select("k", linalg.abs_apply(F.col("m"), F.col("v")).alias("a"), linalg.inverse(F.col("m")).alias("i"), linalg.norm_inf(F.col("m")).alias("n")).orderBy("k").collect()
+    for m, v, r in list(zip(ms, vs, got))[:6]:
+        w, q = np.linalg.eig(m)
+        assert np.allclose(r["a"], (q @ np.diag(abs(w)) @ np.linalg.inv(q) @ v).real) and np.allclose(np.array(r["i"]) @ m, np.eye(3)) and np.isclose(r["n"], abs(m).sum(1).max())
+        assert np.allclose(linalg.matrix_sign_apply(m, v), r["a"])
+    assert got[6]["a"] == [None] * 3 and got[6]["i"] == [[None] * 3] * 3 and got[6]["n"] == 0
+
+
+def test_schemes_by_name(spark):
+    from fieldloom.functions.expr import var
+    from fieldloom.plans import time as tm
+
+    u = Given(fields.from_array(spark, {"u": np.ones((2, 2))}))
+    rate = lambda x: x.with_(r_u=-var("u"))
+    assert fields.to_array(tm.advance("euler", u, rate, ["u"], 0.1).frame(spark, ""), ["u"], (2, 2))["u"] == pytest.approx(np.full((2, 2), 0.9))
+    tm.register_scheme("twice", lambda u, rate, names, dt: tm.euler(tm.euler(u, rate, names, dt / 2), rate, names, dt / 2))
+    try:
+        assert fields.to_array(tm.advance("twice", u, rate, ["u"], 0.1).frame(spark, ""), ["u"], (2, 2))["u"] == pytest.approx(np.full((2, 2), 0.95**2))
+        with pytest.raises(ValueError):
+            tm.register_scheme("rk4", tm.euler)
+        with pytest.raises(KeyError):
+            tm.advance("unknown", u, rate, ["u"], 0.1)
+    finally:
+        del tm.SCHEMES["twice"]
+
+
 def test_what_there_is(spark):
     found = inspect.capabilities()
     assert "hllc" in found["riemann"] and "cg" in found["krylov"] and "solve_linear" in found["operations"]
