@@ -98,16 +98,20 @@ def maybe_in(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
 COMMON = 100
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int | None = None) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int | None = None, least: int | None = None) -> DataFrame:
     """``rows`` with the columns of their class, null where there is none; ``n`` of a class is
     the number of its rows, and ``total`` their sum or a number above it.
 
-    There are at most ten thousand common classes, by their definition; these are broadcast,
-    so that no task meets all rows of one. The others are joined by the key.
+    Classes of more than ``least`` rows and a ten-thousandth of all are common. There are at most
+    ten thousand of them by this definition; these are broadcast, so that no task meets all
+    rows of one. The others are joined by the key, as all are where none is common.
     """
     if total is None:
         total = classes.agg(F.sum("n")).first()[0] or 0
-    common = F.col("n") > max(COMMON, total // 10_000)
+    bound = max(COMMON if least is None else least, total // 10_000)
+    common = F.col("n") > bound
+    if total <= bound or classes.where(common).isEmpty():
+        return rows.join(classes, key, "left")
     classes = classes.select(key, "n", F.struct(*[c for c in classes.columns if c != key]).alias("_of"))
     marked = rows.join(F.broadcast(classes.where(common).drop("n")), key, "left")
     rare = marked.where("_of IS NULL").drop("_of").join(classes.where(~common).drop("n"), key, "left")

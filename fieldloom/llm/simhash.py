@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.shared import cut, drop_cut, join_classes, one_of_each, release_memory
 
 BITS = 64
+#: Links of a vertex that one task takes at least.
+HUB = 10_000
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -231,9 +233,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rows, n = 2 * edges.count(), F.count(F.lit(1)).alias("n")
         least = both.groupBy("a").agg(F.min("b").alias("m"), n).select("a", F.least("a", "m").alias("m"), "n")
-        large = join_classes(both, least, "a", rows).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_classes(both, least, "a", rows, HUB).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), n)
-        small = join_classes(large, least, "a", rows).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = join_classes(large, least, "a", rows, HUB).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         drop_cut(edges)
         edges = after

@@ -255,7 +255,7 @@ def test_near_copies_of_the_documents(spark):
 
 
 def test_hubs_are_joined_whole(spark, monkeypatch):
-    monkeypatch.setattr(shared, "COMMON", 5)
+    monkeypatch.setattr(simhash, "HUB", 5)
     edges = [(k, 0) for k in range(1, 60)] + [(100 + k, 59) for k in range(40)] + [(200, 199)]
     got = {r["a"]: r["b"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 60)}, **{100 + k: 0 for k in range(40)}, 200: 199}
