@@ -12,7 +12,7 @@ from fieldloom.functions import moments as mo
 from fieldloom.functions import physics as ph
 from fieldloom.functions.expr import Expr, abs_, const, diff, floor, maximum, minimum, safe_div, sign, smooth_floor, sqrt, var, where
 from fieldloom.functions.linalg import eig2, lorentz_inverse, solve2
-from fieldloom.operators import amr, cells, coupling, elliptic, fv, grid, halo, lines, multigrid, problems, reduce, stencil
+from fieldloom.operators import amr, cells, coupling, elliptic, fv, grid, halo, lines, multigrid, polar, problems, reduce, stencil
 from fieldloom.operators.grid import Box, Geometry, PolarGeometry
 from fieldloom.plans import time as tm
 from fieldloom.plans.relation import Edges, Given, Plan, raw, rounded
@@ -173,6 +173,41 @@ def _polar(**more) -> Plan:
     return fv.rhs_polar(x, COLD, SHAPE, g, source=lambda u, r: COLD.polar_geometric_source(u, r), **more)
 
 
+def _cold_flux(riemann: str) -> Plan:
+    x = fv.face_fluxes(_gas().select("i", "j", "rho", "mx", "my"), COLD, SHAPE, "minmod", riemann)
+    return x.select("i", "j", *[f"{s}{a}_{c}" for s in "fg" for a in "xy" for c in COLD.names])
+
+
+def _polar_tensor() -> Plan:
+    """The full tensor on a ring, with cross terms."""
+    x = grid.counts().select("i", "j", phi="u", a_rr=var("m") + 1.0, a_tt=var("f") + 1.0, a_rt=var("u") * 0.1, a_tr=var("m") * 0.05)
+    return polar.tensor_operator(x, "phi", PolarGeometry(N, N, 0.3, 1.0)).select("i", "j", "value")
+
+
+@lru_cache(maxsize=1)
+def _board():
+    """Shallow water written down as equations, with a drag."""
+    from fieldloom.plans import model as m
+
+    b = m.Model("water")
+    u = b.state("U", ("h", "mx", "my"))
+    g, k = b.param("g", 9.8), b.param("k", 0.1)
+    vx, vy = b.primitive("vx", u["mx"] / u["h"]), b.primitive("vy", u["my"] / u["h"])
+    p, c = b.primitive("p", u["h"] * u["h"] * g * 0.5), b.primitive("c", sqrt(u["h"] * g))
+    f = b.flux("F", u, [u["mx"], u["mx"] * vx + p, u["my"] * vx], [u["my"], u["mx"] * vy, u["my"] * vy + p], waves=((vx - c, vx + c), (vy - c, vy + c)))
+    s = b.source("drag", u, [const(0.0), -u["mx"] * k, -u["my"] * k])
+    b.rate("advance", m.ddt(u) == -m.div(f) + s)
+    return b.finite_volume("advance", "minmod", "hll", bc="foextrap")
+
+
+def _board_rate() -> Plan:
+    block = _board()
+    x = _gas().select("i", "j", h="rho", mx=var("mx"), my=var("my"))
+    x = fv.rhs(x, block.model, SHAPE, H, H, bc=block.bc, **block.scheme)
+    drag = block.sources["drag"]([var(c) for c in block.model.names], {})
+    return x.with_(**{f"r_{c}": var(f"r_{c}") + e for c, e in zip(block.model.names, drag)})
+
+
 def _jacobian_vector() -> Plan:
     """J v by two residuals, v = m."""
     eps = 1e-3
@@ -330,6 +365,10 @@ def plans() -> dict[str, Plan]:
         "rhs_global_speed": _round(_only_rates(fv.global_speed_rhs(u, WIND, SHAPE, H, H, 1.5))),
         "polar_rhs": _round(_only_rates(_polar()), 4),
         "polar_rhs_wall": _round(_only_rates(_polar(wall=True)), 4),
+        "flux_hllc_isothermal": _round(_cold_flux("hllc")),
+        "flux_roe_isothermal": _round(_cold_flux("roe")),
+        "polar_tensor": _round(_polar_tensor(), 3),
+        "board_rate": _round(_only_rates(_board_rate()), 4),
         "rhs_copied_edges": _round(_only_rates(fv.rhs(gas, GAS, SHAPE, H, H, bc="foextrap", **inside)), 4),
         "rhs_fixed_edges": _round(_only_rates(fv.rhs(u, WIND, SHAPE, H, H, bc=(Edges(("dirichlet", 50.0), "foextrap"), ("dirichlet", 2.0)), limiter="vanleer", viscosity=0.01)), 4),
         "isothermal_hll": _round(_only_rates(fv.rhs(gas.select("i", "j", "rho", "mx", "my"), COLD, SHAPE, H, H, riemann="hll")), 4),

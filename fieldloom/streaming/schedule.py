@@ -162,6 +162,21 @@ class System:
     bounds: dict[str, Callable[[], float]] = field(default_factory=dict)
     reason: str = ""
 
+    def add_dt_bound(self, label: str, bound: Callable[[], float]) -> None:
+        """A bound of the step of one's own; the step names the label when it binds."""
+        if label in self.bounds:
+            raise ValueError(f"{label!r} is taken")
+        self.bounds[label] = bound
+
+    def add_frequency_bound(self, label: str, frequency: Callable[[dict[str, Any]], float], number: float) -> None:
+        """The step is at most ``number`` over the largest frequency of a source or a coupling."""
+
+        def bound() -> float:
+            f = frequency(self.states())
+            return number / f if f > 0 else float("inf")
+
+        self.add_dt_bound(label, bound)
+
     def states(self) -> dict[str, Any]:
         return {b.name: b.state for b in self.blocks}
 

@@ -196,6 +196,15 @@ def test_levels_in_and_out(spark, tmp_path):
     assert (tmp_path / "x.vti.boxes").read_text().split("\n")[1] == "1 2 2 5 5"
 
 
+def test_sources_bound_the_step():
+    s = sc.System([sc.Block("a", 3.0, lambda u, dt: u, speed=lambda u: 1.0)])
+    s.add_frequency_bound("collisions", lambda states: states["a"] * 2.0, 0.6)
+    s.add_frequency_bound("rest", lambda states: 0.0, 0.6)
+    assert s.cfl_dt(0.5, 1.0) == pytest.approx(0.1) and s.reason == "collisions"
+    with pytest.raises(ValueError):
+        s.add_dt_bound("rest", lambda: 1.0)
+
+
 def test_adaptive_substeps_are_not_kept():
     taken = []
     a = sc.Block("a", 0.0, lambda u, dt: u, speed=lambda u: 1.0)
