@@ -520,7 +520,7 @@ def screened_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(Given(phi), 5).frame(spark, sf_dir)
 
 
-def _newton(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
+def _newton(spark: SparkSession, sf_dir: str, steps: int | None) -> DataFrame:
     from fieldloom.functions.linalg import newton_source as solve
 
     x = _gas().frame(spark, sf_dir)
@@ -529,8 +529,8 @@ def _newton(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
 
 
 def newton_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Backward Euler of a nonlinear decay, per cell."""
-    return _round(Given(_newton(spark, sf_dir, 6).drop("ok"))).frame(spark, sf_dir)
+    """Backward Euler of a nonlinear decay, solved to rounding in each cell."""
+    return _round(Given(_newton(spark, sf_dir, None).drop("ok"))).frame(spark, sf_dir)
 
 
 def newton_report(spark: SparkSession, sf_dir: str) -> DataFrame:

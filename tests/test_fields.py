@@ -5,6 +5,7 @@ import pytest
 from conftest import SMALL, same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldloom.functions import expr as ex
 from fieldloom.functions import moments, physics
@@ -256,5 +257,31 @@ def test_rows_of_python_queries(spark):
     assert n["residual"].max() == 0.0
 
 
+@pytest.mark.parametrize("name", ["newton_source", "newton_report"])
+def test_newton_of_full_cells(spark, tmp_path, name):
+    """Cells of so many rows that six steps from the old state don't reach the root."""
+    import duckdb
+
+    from fieldloom.plans.queries import PYTHON, oracle_sql
+
+    rows = spark.range(300_000).selectExpr("(id % 1000) * (id % 1000) div 40000 AS l_orderkey", "id % 3 AS l_partkey", "cast(id % 7 + 1 as int) AS l_linenumber", "if(id % 4 = 0, 'R', 'N') AS l_returnflag")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    same_rows(PYTHON[name](spark, str(tmp_path)).toPandas(), duck.execute(oracle_sql()[name]).df())
+
+
+def test_newton_until_settled(spark):
+    from fieldloom.functions.linalg import newton_source
+
+    u = [0.0, -3.0, 1e5, -4e7, 1e12]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(u)], "k int, x double")
+    got = df.select("k", newton_source(F.array("x"), lambda v: -0.01 * v * abs(v), 1, 0.1, steps=None).alias("s")).orderBy("k").collect()
+    want = [np.sign(x) * (np.sqrt(1 + 0.004 * abs(x)) - 1) / 0.002 for x in u]
+    assert np.allclose([r["s"]["state"][0] for r in got], want, rtol=1e-12, atol=1e-12) and all(r["s"]["ok"] for r in got)
+    none = df.select(newton_source(F.array("x"), lambda v: 10 * (v * v + 1.0) + 0 * v, 1, 1.0, steps=None).alias("s")).collect()
+    assert not any(r["s"]["ok"] for r in none[:3])
+
+
 def test_grid_is_complete(spark):
     assert grid.density(8).frame(spark, SMALL).count() == 64
