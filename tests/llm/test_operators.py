@@ -215,6 +215,60 @@ def test_linked_sets_against_all_pairs():
     assert _joined(150, found) == _joined(150, near)
 
 
+def _fingerprints(n, seed=5):
+    """Bytes of fingerprints: groups of some that are few bits from their first, and others."""
+    rng = np.random.default_rng(seed)
+    fps = rng.integers(0, 2, (n, jaccard.BITS), np.uint8)
+    for k in range(n):
+        if k % 10 < 4:
+            fps[k] = fps[k // 10 * 10] ^ (rng.random(jaccard.BITS) < 0.1)
+    return np.packbits(fps, axis=1)
+
+
+def test_searches_of_trees_against_all_pairs():
+    fps = _fingerprints(900)
+    words, root = list(np.ascontiguousarray(fps).view(np.uint64).T), np.arange(900) // 300 * 300
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=np.int64)
+    parent, edge = jaccard.grown(words, root)
+    assert all(edge[k] == apart[k, parent[k]] for k in range(900) if parent[k] >= 0) and (parent < 0).sum() == 3
+    assert len({(p, e) for p, e in zip(parent.tolist(), edge.tolist()) if p >= 0}) == 897
+    for radius in (0, 20, 57, 90):
+        found = [p for a, b in jaccard.within(words, root, radius) for p in zip(a.tolist(), b.tolist())]
+        want = {(a, b) for a in range(900) for b in range(root[a], a) if apart[a, b] <= radius}
+        assert len(found) == len(want) and set(found) == want
+
+
+def test_candidates_are_near_fingerprints(spark):
+    """What the pipeline compares comes from SimHash, and is linked as all near pairs would."""
+    fps = _fingerprints(600)
+    df = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(fps)] + [(600, bytearray(fps[7].tobytes())), (601, None)], "copy long, fp binary")
+    found = [(r["a"], r["b"]) for r in jaccard.candidates(df).collect()]
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    radius = jaccard.tables(600)[1]
+    near = [(a, b) for a in range(600) for b in range(a) if apart[a, b] <= radius] + [(600, 7)]
+    assert all(a > b for a, b in found) and _joined(602, found) == _joined(602, near)
+
+
+def test_fingerprints_of_sets():
+    """The rule of bits, on odd sizes; similar sets have near fingerprints, few shingles aren't biased."""
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 301, 999):
+        found = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        bits = np.unpackbits(jaccard._hashes(found), axis=1).sum(axis=0, dtype=int)
+        assert (np.unpackbits(jaccard.fingerprint(found)) == (2 * bits > len(found))).all()
+    two = np.array([np.unpackbits(jaccard.fingerprint(np.unique(rng.integers(0, 1 << 63, 2, np.uint64)))) for _ in range(300)])
+    assert 0.47 < two.mean() < 0.53
+
+
+def test_links_of_a_large_group_are_few(spark):
+    rng = np.random.default_rng(9)
+    n = 3000
+    fps = np.packbits(rng.integers(0, 2, jaccard.BITS, np.uint8) ^ (rng.random((n, jaccard.BITS)) < 0.07), axis=1)
+    df = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(fps)], "copy long, fp binary")
+    found = [(r["a"], r["b"]) for r in jaccard.candidates(df).collect()]
+    assert len(found) < 3 * n and len(set(_joined(n, found))) == 1
+
+
 def test_pipeline_links_by_exact_similarity(spark):
     """An edit in the middle of a text leaves 0.9 of its shingles; texts at 0.6 stay apart."""
     rng = random.Random(8)
